@@ -1,40 +1,52 @@
-"""From the free text of a model answer to typed label arrays, as Column expressions over VARIANT.
+"""From the free text of a model answer to typed label arrays, as Spark SQL over VARIANT.
 
 An answer is judged as a whole: one item that cannot be read (not an object, a
 coordinate that is null or not a number, a label that is a list) makes the
 answer not ``ok`` and leaves it without labels. Items that are merely unusable
 (no label, an empty box, too few points) are dropped one by one.
+
+The expressions are SQL text: one parse by the JVM instead of thousands of
+calls to build the same tree from Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.values import confidence, coordinate, strip
-from tagloom.schemas import CORNERS, KINDS, POINT
+from tagloom.schemas import KINDS
 
 # Appended behind the answer inside an array: text after the JSON value then breaks the parse.
 _END = "#end"
 
-FENCED_JSON = r"(?s)```json\s*(.*?)\s*```"
+_FENCED = r"r'(?s)```json\s*(.*?)\s*```'"
+_SPACE = r"r'(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$'"
 
 
-def answer_json_text(text: Column) -> Column:
-    """JSON part of an answer: the first fenced json block, else the text without bare fences."""
-    return _without_fences(strip(_fenced_block(text)))
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
 
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, {_SPACE}, '')"
 
-def _fenced_block(text: Column) -> Column:
-    return F.when(text.rlike(FENCED_JSON), F.regexp_extract(text, FENCED_JSON, 1)).otherwise(text)
+
+def _body_sql(text: str) -> str:
+    fenced = f"CASE WHEN rlike({text}, {_FENCED}) THEN regexp_extract({text}, {_FENCED}, 1) ELSE {text} END"
+    bare = "startswith(body, '```') AND endswith(body, '```')"
+    inner = _strip("substring(body, 4, greatest(length(body) - 6, 0))")
+    return _let("body", _strip(fenced), f"CASE WHEN {bare} THEN {inner} ELSE body END")
+
+
+def answer_json_text(text_column: str) -> Column:
+    """JSON part of an answer: the first fenced json block, else the text without bare fences."""
+    return F.expr(_body_sql(f"`{text_column}`"))
 
 
-def _without_fences(body: Column) -> Column:
-    bare = body.startswith("```") & body.endswith("```")
-    inner = F.substring(body, F.lit(4), F.greatest(F.length(body) - 6, F.lit(0)))
-    return F.when(bare, strip(inner)).otherwise(body)
+def parse_answer(text_column: str) -> Column:
+    """Struct of ``parse_ok``, ``ok`` and the six label arrays of one answer text."""
+    return F.expr(_answer_sql(f"`{text_column}`"))
 
 
 def parse_answers(responses: DataFrame, text_column: str = "raw_text") -> DataFrame:
@@ -43,331 +55,254 @@ def parse_answers(responses: DataFrame, text_column: str = "raw_text") -> DataFr
     Unparsable text is a good answer without labels (``parse_ok`` false); a null
     text, left by a failed call, is a bad one.
     """
-    doc, readable = F.col("_doc"), F.col("parse_ok")
-    read = {kind: _READERS[kind](_member(doc, "$[0]", kind)) for kind in KINDS}
-
-    parsed = (
-        responses.withColumn("_body", strip(_fenced_block(F.col(text_column))))
-        .withColumn("_body", _without_fences(F.col("_body")))
-        .withColumn("_doc", F.try_parse_json(F.concat(F.lit("["), F.col("_body"), F.lit(f',"{_END}"]'))))
-        .withColumn(
-            "parse_ok",
-            F.coalesce(
-                (F.try_variant_get(doc, "$[1]", "string") == _END) & F.variant_get(doc, "$[2]", "variant").isNull(),
-                F.lit(False),
-            ),
-        )
-        .withColumn("_items", F.struct(*[items.alias(kind) for kind, (items, _) in read.items()]))
-    )
-    fine = _is_object(F.variant_get(doc, "$[0]", "variant"))
-    for kind, (_, list_fine) in read.items():
-        fine = fine & list_fine & ~F.exists(F.col("_items")[kind], lambda item: item["bad"])
-    ok = F.col(text_column).isNotNull() & F.when(readable, fine).otherwise(True)
-
-    parsed = parsed.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn(
-        "error",
-        F.when(F.col(text_column).isNull(), "no answer").when(~F.col("ok"), "invalid value"),
+    answered = F.col(text_column).isNotNull()
+    return responses.withColumn("_answer", parse_answer(text_column)).select(
+        *responses.columns,
+        F.col("_answer.parse_ok").alias("parse_ok"),
+        (answered & F.col("_answer.ok")).alias("ok"),
+        F.when(~answered, "no answer").when(~F.col("_answer.ok"), "invalid value").alias("error"),
+        *[F.col(f"_answer.{kind}").alias(kind) for kind in KINDS],
     )
-    for kind, item_type in KINDS.items():
-        kept = F.transform(F.filter(F.col("_items")[kind], lambda item: item["keep"]), lambda item: item["value"])
-        parsed = parsed.withColumn(
-            kind,
-            F.when(F.col("ok") & readable, kept).otherwise(F.array()).cast(f"array<{item_type}>"),
-        )
-    return parsed.drop("_body", "_doc", "_items")
-
-
-# --- reading members ---------------------------------------------------------------------------
-
-
-def _is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
-
 
-def _member(container: Column, path: str, key: str) -> tuple[Column, Column]:
-    """List under a key: its items (none when the key is missing) and whether it can be iterated."""
-    raw = F.variant_get(container, f"{path}.{key}", "variant")
-    items = F.try_variant_get(container, f"{path}.{key}", "array<variant>")
-    empty = F.array().cast("array<variant>")
-    fine = raw.isNull() | items.isNotNull() | F.to_json(raw).isin('""', "{}")
-    return F.coalesce(items, empty), F.coalesce(fine, F.lit(False))
 
+# --- the answer as a whole -------------------------------------------------------------------------
 
-def _missing(item: Column, key: str) -> Column:
-    return F.variant_get(item, f"$.{key}", "variant").isNull()
 
-
-def _number(item: Column, key: str, default: float) -> Column:
-    """Number or numeric text; the default if the key is missing, null if it is there and unreadable."""
-    return F.coalesce(
-        F.try_variant_get(item, f"$.{key}", "double"),
-        F.when(_missing(item, key), F.lit(default)),
+def _answer_sql(text: str) -> str:
+    doc = f"try_parse_json(concat('[', {_body_sql(text)}, ',\"{_END}\"]'))"
+    readable = (
+        f"coalesce(try_variant_get(doc, '$[1]', 'string') = '{_END}' AND variant_get(doc, '$[2]', 'variant') IS NULL, false)"
     )
+    is_object = "try_variant_get(doc, '$[0]', 'map<string,variant>') IS NOT NULL"
+    items = [f"'{kind}', {_read_kind(kind)}" for kind in KINDS]
+    fine = " AND ".join(f"coalesce(items.{kind}.fine, true)" for kind in KINDS)
+    ok = f"coalesce(CASE WHEN readable THEN {fine} AND {is_object} ELSE true END, false)"
 
+    def kept(kind: str) -> str:
+        usable = f"transform(filter(items.{kind}.judged, i -> i.keep), i -> i.value)"
+        none = f"CAST(array() AS array<{KINDS[kind]}>)"
+        return f"'{kind}', CASE WHEN ok AND items.{kind} IS NOT NULL THEN coalesce({usable}, {none}) ELSE {none} END"
 
-def _json(item: Column, key: str) -> Column:
-    """JSON text of a member, null if missing: tells its type by the first character."""
-    return F.to_json(F.variant_get(item, f"$.{key}", "variant"))
-
-
-def _string(item: Column, key: str) -> Column:
-    return F.try_variant_get(item, f"$.{key}", "string")
+    result = f"named_struct('parse_ok', readable, 'ok', ok, {', '.join(kept(kind) for kind in KINDS)})"
+    for name, value in (("ok", ok), ("items", f"named_struct({', '.join(items)})"), ("readable", readable), ("doc", doc)):
+        result = _let(name, value, result)
+    return result
 
 
-def _truthy(json: Column) -> Column:
-    """Neither missing nor null, false, zero or empty."""
-    number = json.try_cast("double")
-    return F.coalesce(~json.isin("null", "false", '""', "[]", "{}"), F.lit(False)) & F.coalesce(number != 0, F.lit(True))
-
+def _read_kind(kind: str) -> str:
+    """Null if the answer has no such key, else the judged items and whether all of them are fine.
 
-def _nested(json: Column) -> Column:
-    return F.coalesce(json.startswith("[") | json.startswith("{"), F.lit(False))
+    The list is cast in one go to typed structs. A field that is then null may be
+    missing, null or unreadable; only for those the item itself (``items[i]``) is looked at.
+    """
+    cast, judged = _READERS[kind]
+    path = f"'$[0].{kind}'"
+    both = _let(
+        "items",
+        f"try_variant_get(doc, {path}, 'array<variant>')",
+        _let("judged", f"transform(typed, (t, i) -> {judged})", f"named_struct('judged', judged, 'fine', {_list_fine('raw')})"),
+    )
+    read = _let("typed", f"try_variant_get(doc, {path}, 'array<struct<{cast}>>')", both)
+    return f"CASE WHEN readable THEN {_let('raw', f'variant_get(doc, {path}, {_VARIANT})', f'CASE WHEN raw IS NOT NULL THEN {read} END')} END"
 
 
-def _as_text(json: Column, text: Column) -> Column:
-    return F.when(json == "true", "True").when(json == "false", "False").otherwise(text)
+_VARIANT = "'variant'"
 
 
-def _flag(json: Column, text: Column) -> Column:
-    """Loose boolean: true unless missing, numbers by sign, a few words, all else false."""
+def _list_fine(raw: str) -> str:
+    """A list of objects without a bad one; something else only if there is nothing to iterate."""
     return (
-        F.when(json.isNull() | (json == "true"), True)
-        .when(json.startswith('"'), F.lower(strip(text)).isin("true", "1", "yes", "visible"))
-        .otherwise(F.coalesce(json.try_cast("double") > 0, F.lit(False)))
+        f"CASE WHEN typed IS NULL THEN to_json({raw}) IN ('\"\"', '{{}}')"
+        " ELSE NOT exists(typed, t -> t IS NULL) AND NOT exists(judged, j -> j.bad) END"
     )
 
 
-# --- one reader per kind: (array of {bad, keep, value}, list is iterable) ------------------------
-
-
-def _box_numbers(item: Column) -> list[Column]:
-    defaults = dict(zip(CORNERS, (0.0, 0.0, 1.0, 1.0)))
-    return [_number(item, key, default).alias(key) for key, default in defaults.items()] + [
-        _number(item, "confidence", 1.0).alias("confidence")
-    ]
-
+# --- members of an item: t is its typed struct, items[i] the item as it came -------------------------
 
-def _scaled_box(raw: Column) -> list[Column]:
-    return [coordinate(raw[key]).alias(key) for key in CORNERS] + [confidence(raw["confidence"]).alias("confidence")]
 
-
-def _has_area(raw: Column) -> Column:
-    return (coordinate(raw["xmin"]) < coordinate(raw["xmax"])) & (coordinate(raw["ymin"]) < coordinate(raw["ymax"]))
+def _number(key: str, default: str, typed: str = "t", item: str = "items[i]") -> str:
+    """Number or numeric text; the default if the key is missing, null if it is there and unreadable."""
+    return f"coalesce({typed}.{key}, CASE WHEN variant_get({item}, '$.{key}', 'variant') IS NULL THEN {default} END)"
 
 
-def _any_null(raw: Column, *keys: str) -> Column:
-    broken = F.lit(False)
-    for key in keys:
-        broken = broken | raw[key].isNull()
-    return broken
+def _unit(value: str, scale: int) -> str:
+    """Scaled to 0..1: what is above 1 counts on the 0..scale range. Null stays null."""
+    return f"CASE WHEN {value} <= 1D THEN greatest(0D, {value}) WHEN {value} > 1D THEN least(1D, {value} / {scale}D) END"
 
 
-def _verdict(bad: Column, keep: Column, value: Column) -> Column:
-    return F.struct(
-        F.coalesce(bad, F.lit(True)).alias("bad"), F.coalesce(keep, F.lit(False)).alias("keep"), value.alias("value")
+def _units(defaults: dict[str, float], typed: str = "t", item: str = "items[i]") -> str:
+    return ", ".join(
+        f"{_unit(_number(key, f'{default}D', typed, item), 100 if key == 'confidence' else 1000)} AS `{key}`"
+        for key, default in defaults.items()
     )
 
 
-def _two_step(items: Column, first: Callable[[Column], Column], second: Callable[[Column], Column]) -> Column:
-    """Extract every member once, then judge the extracted struct."""
-    return F.transform(F.transform(items, first), second)
-
+# A text that looks like this may come from a number, a boolean, a list or an object.
+_NOT_SURELY_TEXT = r"r'^([-0-9\[{]|true$|false$)'"
 
-def _read_classifications(member: tuple[Column, Column]) -> tuple[Column, Column]:
-    items, fine = member
 
-    def first(item: Column) -> Column:
-        return F.struct(
-            _is_object(item).alias("is_object"),
-            _json(item, "label").alias("label_json"),
-            _string(item, "label").alias("label_text"),
-            _number(item, "confidence", 1.0).alias("confidence"),
-        )
-
-    def second(raw: Column) -> Column:
-        keep = _truthy(raw["label_json"])
-        bad = ~raw["is_object"] | _any_null(raw, "confidence") | (keep & _nested(raw["label_json"]))
-        label = _as_text(raw["label_json"], raw["label_text"])
-        return _verdict(bad, keep, F.struct(label.alias("label"), confidence(raw["confidence"]).alias("confidence")))
+def _named(key: str, name: str, typed: str = "t", item: str = "items[i]") -> str:
+    """Start of the JSON text of a member, null if missing (it tells the type), and its string value."""
+    text = f"{typed}.{key}"
+    unsure = f"{text} IS NULL OR rlike({text}, {_NOT_SURELY_TEXT})"
+    json = (
+        f"CASE WHEN {unsure} THEN to_json(variant_get({item}, '$.{key}', 'variant'))"
+        f" WHEN {text} = '' THEN '\"\"' ELSE '\"' END"
+    )
+    return f"{json} AS `{name}_json`, {text} AS `{name}_text`"
 
-    return _two_step(items, first, second), fine
 
+def _truthy(raw: str, name: str) -> str:
+    """Neither missing nor null, false, zero or empty."""
+    json = f"{raw}.{name}_json"
+    return (
+        f"CASE WHEN {json} IS NULL OR {json} IN ('null', 'false', '\"\"', '[]', '{{}}') THEN false"
+        f" WHEN rlike({json}, '^[-0-9]') THEN try_cast({json} AS DOUBLE) <> 0 ELSE true END"
+    )
 
-def _read_boxed(name: str) -> Callable[[tuple[Column, Column]], tuple[Column, Column]]:
-    """Boxes and text regions differ only in the member that names them."""
 
-    def read(member: tuple[Column, Column]) -> tuple[Column, Column]:
-        items, fine = member
+def _nested(raw: str, name: str) -> str:
+    json = f"{raw}.{name}_json"
+    return f"coalesce(startswith({json}, '[') OR startswith({json}, '{{'), false)"
 
-        def first(item: Column) -> Column:
-            return F.struct(
-                _is_object(item).alias("is_object"),
-                _json(item, name).alias("name_json"),
-                _string(item, name).alias("name_text"),
-                *_box_numbers(item),
-            )
 
-        def second(raw: Column) -> Column:
-            keep = _truthy(raw["name_json"]) & _has_area(raw)
-            bad = ~raw["is_object"] | _any_null(raw, *CORNERS, "confidence") | (keep & _nested(raw["name_json"]))
-            value = F.struct(
-                _as_text(raw["name_json"], raw["name_text"]).alias(name),
-                *_scaled_box(raw),
-            )
-            return _verdict(bad, keep, value)
+def _text(raw: str, name: str) -> str:
+    return f"CASE {raw}.{name}_json WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' ELSE {raw}.{name}_text END"
 
-        return _two_step(items, first, second), fine
 
-    return read
+def _flag(raw: str, name: str) -> str:
+    """Loose boolean: true unless missing, numbers by sign, a few words, all else false."""
+    json, words = f"{raw}.{name}_json", "'true', '1', 'yes', 'visible'"
+    return (
+        f"CASE WHEN {json} IS NULL OR {json} = 'true' THEN true"
+        f" WHEN startswith({json}, '\"') THEN lower({_strip(f'{raw}.{name}_text')}) IN ({words})"
+        f" WHEN rlike({json}, '^[-0-9]') THEN try_cast({json} AS DOUBLE) > 0 ELSE false END"
+    )
 
 
-def _read_segments(member: tuple[Column, Column]) -> tuple[Column, Column]:
-    items, fine = member
+def _any_null(raw: str, *keys: str) -> str:
+    return "(" + " OR ".join(f"{raw}.{key} IS NULL" for key in keys) + ")"
 
-    def point(p: Column) -> Column:
-        return F.struct(
-            _is_object(p).alias("is_object"),
-            _number(p, "x", 0.0).alias("x"),
-            _number(p, "y", 0.0).alias("y"),
-        )
 
-    def first(item: Column) -> Column:
-        points, points_fine = _member(item, "$", "polygon")
-        return F.struct(
-            _is_object(item).alias("is_object"),
-            _json(item, "label").alias("label_json"),
-            _string(item, "label").alias("label_text"),
-            points_fine.alias("points_fine"),
-            F.transform(points, point).alias("points"),
-            _number(item, "confidence", 1.0).alias("confidence"),
-        )
+def _fields(raw: str, *keys: str) -> str:
+    return ", ".join(f"{raw}.{key} AS `{key}`" for key in keys)
 
-    def second(raw: Column) -> Column:
-        keep = _truthy(raw["label_json"]) & (F.size(raw["points"]) >= 3)
-        bad = (
-            ~raw["is_object"]
-            | ~raw["points_fine"]
-            | F.exists(raw["points"], lambda p: ~p["is_object"] | _any_null(p, "x", "y"))
-            | (keep & (_any_null(raw, "confidence") | _nested(raw["label_json"])))
-        )
-        value = F.struct(
-            _as_text(raw["label_json"], raw["label_text"]).alias("label"),
-            F.transform(raw["points"], lambda p: F.struct(coordinate(p["x"]).alias("x"), coordinate(p["y"]).alias("y")))
-            .cast(f"array<{POINT}>")
-            .alias("polygon"),
-            confidence(raw["confidence"]).alias("confidence"),
-        )
-        return _verdict(bad, keep, value)
 
-    return _two_step(items, first, second), fine
+_CONFIDENCE = {"confidence": 1.0}
+_BOX = {"xmin": 0.0, "ymin": 0.0, "xmax": 1.0, "ymax": 1.0, **_CONFIDENCE}
+_BOX_CAST = ", ".join(f"{key}: double" for key in _BOX)
+_HAS_AREA = "(r.xmin < r.xmax AND r.ymin < r.ymax)"
 
 
-def _read_poses(member: tuple[Column, Column]) -> tuple[Column, Column]:
-    items, fine = member
+# --- one reader per kind: the typed cast of an item, and {bad, keep, value} of it -----------------------
 
-    def keypoint(k: Column) -> Column:
-        return F.struct(
-            _is_object(k).alias("is_object"),
-            _json(k, "name").alias("name_json"),
-            _string(k, "name").alias("name_text"),
-            _number(k, "x", 0.0).alias("x"),
-            _number(k, "y", 0.0).alias("y"),
-            _json(k, "visible").alias("visible_json"),
-            _string(k, "visible").alias("visible_text"),
-            _number(k, "confidence", 1.0).alias("confidence"),
-        )
 
-    def first(item: Column) -> Column:
-        points, points_fine = _member(item, "$", "keypoints")
-        return F.struct(
-            _is_object(item).alias("is_object"),
-            _json(item, "label").alias("label_json"),
-            _string(item, "label").alias("label_text"),
-            points_fine.alias("points_fine"),
-            F.transform(points, keypoint).alias("points"),
-            _number(item, "confidence", 1.0).alias("confidence"),
-        )
-
-    def second(raw: Column) -> Column:
-        named = F.filter(raw["points"], lambda k: _truthy(k["name_json"]))
-        keep = F.size(named) > 0
-        bad = (
-            ~raw["is_object"]
-            | ~raw["points_fine"]
-            | F.exists(
-                raw["points"],
-                lambda k: ~k["is_object"]
-                | (_truthy(k["name_json"]) & (_any_null(k, "x", "y", "confidence") | _nested(k["name_json"]))),
-            )
-            | (
-                keep
-                & (
-                    _any_null(raw, "confidence")
-                    | F.coalesce(raw["label_json"] == "null", F.lit(False))
-                    | _nested(raw["label_json"])
-                )
-            )
-        )
-        label = F.when(raw["label_json"].isNull(), "person").otherwise(_as_text(raw["label_json"], raw["label_text"]))
-        value = F.struct(
-            label.alias("label"),
-            F.transform(
-                named,
-                lambda k: F.struct(
-                    _as_text(k["name_json"], k["name_text"]).alias("name"),
-                    coordinate(k["x"]).alias("x"),
-                    coordinate(k["y"]).alias("y"),
-                    _flag(k["visible_json"], k["visible_text"]).alias("visible"),
-                    confidence(k["confidence"]).alias("confidence"),
-                ),
-            ).alias("keypoints"),
-            confidence(raw["confidence"]).alias("confidence"),
-        )
-        return _verdict(bad, keep, value)
+def _judge(members: str, keep: str, bad: str, value: str) -> str:
+    """Bring the members of an item into a struct ``r`` once, then judge it."""
+    verdict = _let(
+        "keep",
+        f"coalesce({keep}, false)",
+        f"named_struct('bad', coalesce({bad}, true), 'keep', keep, 'value', struct({value}))",
+    )
+    return _let("r", f"struct({members})", verdict)
 
-    return _two_step(items, first, second), fine
 
+def _boxed(name: str) -> tuple[str, str]:
+    """Boxes and text regions differ only in the member that names them."""
+    return f"{name}: string, {_BOX_CAST}", _judge(
+        f"{_named(name, name)}, {_units(_BOX)}",
+        f"{_truthy('r', name)} AND {_HAS_AREA}",
+        f"{_any_null('r', *_BOX)} OR (keep AND {_nested('r', name)})",
+        f"{_text('r', name)} AS `{name}`, {_fields('r', *_BOX)}",
+    )
 
-def _read_tracks(member: tuple[Column, Column]) -> tuple[Column, Column]:
-    items, fine = member
 
-    def first(item: Column) -> Column:
-        frame = F.coalesce(
-            F.try_variant_get(item, "$.frame_id", "bigint"), F.when(_missing(item, "frame_id"), F.lit(0))
-        )
-        return F.struct(
-            _is_object(item).alias("is_object"),
-            _json(item, "track_id").alias("id_json"),
-            _string(item, "track_id").alias("id_text"),
-            frame.alias("frame_id"),
-            _json(item, "label").alias("label_json"),
-            _string(item, "label").alias("label_text"),
-            *_box_numbers(item),
-        )
-
-    def second(raw: Column) -> Column:
-        keep = _truthy(raw["id_json"]) & _truthy(raw["label_json"]) & _has_area(raw)
-        bad = (
-            ~raw["is_object"]
-            | _any_null(raw, *CORNERS, "confidence")
-            | (keep & (_any_null(raw, "frame_id") | _nested(raw["label_json"])))
-        )
-        value = F.struct(
-            _as_text(raw["id_json"], raw["id_text"]).alias("track_id"),
-            raw["frame_id"].alias("frame_id"),
-            _as_text(raw["label_json"], raw["label_text"]).alias("label"),
-            *_scaled_box(raw),
+_CLASSIFICATION = (
+    "label: string, confidence: double",
+    _judge(
+        f"{_named('label', 'label')}, {_units(_CONFIDENCE)}",
+        _truthy("r", "label"),
+        f"{_any_null('r', 'confidence')} OR (keep AND {_nested('r', 'label')})",
+        f"{_text('r', 'label')} AS label, {_fields('r', 'confidence')}",
+    ),
+)
+
+
+def _points(key: str, cast: str, members: str, keep: str | None = None) -> str:
+    """Nested list under a key as {fine, points}: fine if it is missing or a list of objects."""
+    point = f"struct({members})"
+    listed = f"transform(nested_typed, (n, j) -> {point})"
+    if keep:
+        listed = f"filter({listed}, k -> {keep})"
+    fine = (
+        "CASE WHEN nested_typed IS NULL THEN nested_raw IS NULL OR to_json(nested_raw) IN ('\"\"', '{}')"
+        " ELSE NOT exists(nested_typed, n -> n IS NULL) END"
+    )
+    made = f"named_struct('fine', {fine}, 'points', coalesce({listed}, array()))"
+    for name, target in (("nested_items", "array<variant>"), ("nested_typed", f"array<struct<{cast}>>"), ("nested_raw", "variant")):
+        get = "variant_get" if target == "variant" else "try_variant_get"
+        made = _let(name, f"{get}(items[i], '$.{key}', '{target}')", made)
+    return made
+
+
+_XY = {"x": 0.0, "y": 0.0}
+
+_SEGMENT = (
+    "label: string, confidence: double",
+    _judge(
+        f"{_named('label', 'label')}, {_units(_CONFIDENCE)},"
+        f" {_points('polygon', 'x: double, y: double', _units(_XY, 'n', 'nested_items[j]'))} AS polygon",
+        f"{_truthy('r', 'label')} AND size(r.polygon.points) >= 3",
+        f"NOT r.polygon.fine OR exists(r.polygon.points, p -> {_any_null('p', 'x', 'y')})"
+        f" OR (keep AND ({_any_null('r', 'confidence')} OR {_nested('r', 'label')}))",
+        f"{_text('r', 'label')} AS label, r.polygon.points AS polygon, {_fields('r', 'confidence')}",
+    ),
+)
+
+_KEYPOINT_MEMBERS = ", ".join(
+    (
+        _named("name", "name", "n", "nested_items[j]"),
+        _units({**_XY, **_CONFIDENCE}, "n", "nested_items[j]"),
+        _named("visible", "visible", "n", "nested_items[j]"),
+    )
+)
+_KEYPOINT = f"{_text('k', 'name')} AS name, {_fields('k', 'x', 'y')}, {_flag('k', 'visible')} AS visible, {_fields('k', 'confidence')}"
+
+_POSE = (
+    "label: string, confidence: double",
+    _judge(
+        f"{_named('label', 'label')}, {_units(_CONFIDENCE)}, "
+        + _points(
+            "keypoints",
+            "name: string, x: double, y: double, visible: string, confidence: double",
+            _KEYPOINT_MEMBERS,
+            _truthy("k", "name"),
         )
-        return _verdict(bad, keep, value)
-
-    return _two_step(items, first, second), fine
-
-
-_READERS = {
-    "classifications": _read_classifications,
-    "boxes": _read_boxed("label"),
-    "segments": _read_segments,
-    "poses": _read_poses,
-    "texts": _read_boxed("text"),
-    "tracks": _read_tracks,
+        + " AS keypoints",
+        "size(r.keypoints.points) > 0",
+        "NOT r.keypoints.fine"
+        f" OR exists(r.keypoints.points, k -> {_any_null('k', 'x', 'y', 'confidence')} OR {_nested('k', 'name')})"
+        f" OR (keep AND ({_any_null('r', 'confidence')} OR coalesce(r.label_json = 'null', false) OR {_nested('r', 'label')}))",
+        f"CASE WHEN r.label_json IS NULL THEN 'person' ELSE {_text('r', 'label')} END AS label,"
+        f" transform(r.keypoints.points, k -> struct({_KEYPOINT})) AS keypoints, {_fields('r', 'confidence')}",
+    ),
+)
+
+_TRACK = (
+    f"track_id: string, frame_id: bigint, label: string, {_BOX_CAST}",
+    _judge(
+        f"{_named('track_id', 'id')}, {_named('label', 'label')}, {_units(_BOX)}, {_number('frame_id', '0L')} AS frame_id",
+        f"{_truthy('r', 'id')} AND {_truthy('r', 'label')} AND {_HAS_AREA}",
+        f"{_any_null('r', *_BOX)} OR (keep AND ({_any_null('r', 'frame_id')} OR {_nested('r', 'label')}))",
+        f"{_text('r', 'id')} AS track_id, r.frame_id AS frame_id, {_text('r', 'label')} AS label, {_fields('r', *_BOX)}",
+    ),
+)
+
+_READERS: dict[str, tuple[str, str]] = {
+    "classifications": _CLASSIFICATION,
+    "boxes": _boxed("label"),
+    "segments": _SEGMENT,
+    "poses": _POSE,
+    "texts": _boxed("text"),
+    "tracks": _TRACK,
 }

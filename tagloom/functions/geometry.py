@@ -12,70 +12,49 @@ MATCH_IOU = 0.5
 MATCHES = "array<struct<left_pos:int,right_pos:int,iou:double>>"
 
 
-def iou(a: Column, b: Column) -> Column:
-    """Intersection over union; 0 when the boxes do not overlap."""
-    zero = F.lit(0.0)
-    inter = F.greatest(zero, F.least(a["xmax"], b["xmax"]) - F.greatest(a["xmin"], b["xmin"])) * F.greatest(
-        zero, F.least(a["ymax"], b["ymax"]) - F.greatest(a["ymin"], b["ymin"])
-    )
-    union = _area(a) + _area(b) - inter
-    return F.when(inter == 0, zero).otherwise(inter / union)
-
+def iou_sql(a: str, b: str) -> str:
+    """Intersection over union of the boxes under two name prefixes; 0 when they do not overlap."""
+    width = f"greatest(0D, least({a}xmax, {b}xmax) - greatest({a}xmin, {b}xmin))"
+    height = f"greatest(0D, least({a}ymax, {b}ymax) - greatest({a}ymin, {b}ymin))"
+    areas = " + ".join(f"({p}xmax - {p}xmin) * ({p}ymax - {p}ymin)" for p in (a, b))
+    inter = f"{width} * {height}"
+    return f"CASE WHEN {width} = 0D OR {height} = 0D THEN 0D ELSE {inter} / ({areas} - {inter}) END"
 
-def _area(box: Column) -> Column:
-    return (box["xmax"] - box["xmin"]) * (box["ymax"] - box["ymin"])
 
-
-def greedy_match(left: Column, right: Column, threshold: float | Column = MATCH_IOU, label: str = "label") -> Column:
-    """Match two box arrays one to one, in the order of ``left``.
+def greedy_match_sql(left: str, right: str, threshold: float = MATCH_IOU, label: str = "label") -> str:
+    """One-to-one matches of two box arrays, in the order of the left one, as an array of MATCHES.
 
     Each left box takes the still free right box of the same label with the
     highest IoU, the first of equals, if that reaches the threshold.
     """
-    threshold = F.lit(threshold) if not isinstance(threshold, Column) else threshold
-    candidate = "struct<iou:double,back:int>"
-
-    def best(taken: Column, box: Column) -> Column:
-        def rate(other: Column, pos: Column) -> Column:
-            free = (other[label] == box[label]) & ~F.exists(taken, lambda m: m["right_pos"] == pos)
-            return F.struct(F.when(free, iou(box, other)).otherwise(0.0).alias("iou"), (-pos).alias("back")).cast(
-                candidate
-            )
-
-        return F.array_max(F.transform(right, rate))
-
-    def take(taken: Column, step: Column) -> Column:
-        box, pos = step["box"], step["pos"]
-        # a fold over one element names the best candidate, so that it is computed once
-        return F.aggregate(
-            F.array(best(taken, box)),
-            taken,
-            lambda acc, top: F.when(
-                (top["iou"] > 0) & (top["iou"] >= threshold),
-                F.concat(
-                    acc,
-                    F.array(F.struct(pos.alias("left_pos"), (-top["back"]).alias("right_pos"), top["iou"].alias("iou"))),
-                ),
-            )
-            .otherwise(acc)
-            .cast(MATCHES),
-        )
-
-    steps = F.transform(left, lambda box, pos: F.struct(box.alias("box"), pos.alias("pos")))
-    return F.aggregate(steps, F.array().cast(MATCHES), take)
-
-
-def match_score(left: Column, right: Column, threshold: float = MATCH_IOU, label: str = "label") -> Column:
+    free = f"other.{label} = step.box.{label} AND NOT exists(taken, m -> m.right_pos = pos)"
+    rated = f"struct(CASE WHEN {free} THEN {iou_sql('step.box.', 'other.')} ELSE 0D END AS iou, -pos AS back)"
+    best = f"array_max(transform({right}, (other, pos) -> {rated}))"
+    # an inner fold over the single best candidate names it, so that it is computed once
+    take = (
+        f"aggregate(array({best}), taken, (kept, top) -> CASE WHEN top.iou > 0D AND top.iou >= {threshold}D"
+        f" THEN concat(kept, array(struct(step.pos AS left_pos, -top.back AS right_pos, top.iou AS iou)))"
+        " ELSE kept END)"
+    )
+    steps = f"transform({left}, (box, pos) -> struct(box, pos))"
+    return f"aggregate({steps}, CAST(array() AS {MATCHES}), (taken, step) -> CAST({take} AS {MATCHES}))"
+
+
+def match_score_sql(left: str, right: str, threshold: float = MATCH_IOU, label: str = "label") -> str:
     """Sum of matched IoU over the larger count: 1 for two empty sides, 0 for one."""
-    total = F.aggregate(greedy_match(left, right, threshold, label), F.lit(0.0), lambda acc, m: acc + m["iou"])
-    n_left, n_right = F.size(left), F.size(right)
+    total = f"aggregate({greedy_match_sql(left, right, threshold, label)}, 0D, (acc, m) -> acc + m.iou)"
     return (
-        F.when((n_left == 0) & (n_right == 0), 1.0)
-        .when((n_left == 0) | (n_right == 0), 0.0)
-        .otherwise(total / F.greatest(n_left, n_right))
+        f"CASE WHEN size({left}) = 0 AND size({right}) = 0 THEN 1D WHEN size({left}) = 0 OR size({right}) = 0 THEN 0D"
+        f" ELSE {total} / greatest(size({left}), size({right})) END"
     )
 
 
+SEGMENT_BOX_SQL = (
+    "transform({}, s -> struct(s.label AS label, array_min(s.polygon.x) AS xmin, array_min(s.polygon.y) AS ymin,"
+    " array_max(s.polygon.x) AS xmax, array_max(s.polygon.y) AS ymax))"
+)
+
+
 def segment_to_box(segment: Column) -> Column:
     """Enclosing box of a polygon."""
     xs = F.transform(segment["polygon"], lambda p: p["x"])

@@ -1,81 +1,71 @@
 """Expressions over the six label arrays of one result.
 
-``get`` maps a kind to its array: ``F.col`` for a table of results, or a struct
-accessor such as ``lambda kind: run[kind]`` inside a higher-order function.
+The SQL forms take a name prefix: empty for the columns of a table of results,
+``draft.`` or a lambda variable with a dot for a struct.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagloom.functions.geometry import MATCH_IOU, match_score, segment_to_box
+from tagloom.functions.geometry import MATCH_IOU, SEGMENT_BOX_SQL, match_score_sql
 from tagloom.schemas import KINDS
 
-Getter = Callable[[str], Column]
-
-CONSISTENCY_LABEL_KINDS = ("classifications", "boxes", "segments", "poses")
 
-
-def label_bag(get: Getter = F.col) -> Column:
+def label_bag_sql(p: str = "") -> str:
     """All strings that describe a result: labels, read texts, ``track:label`` and visible keypoint names."""
-    names = [F.transform(get(kind), lambda item: item["label"]) for kind in CONSISTENCY_LABEL_KINDS]
-    texts = F.transform(get("texts"), lambda item: item["text"])
-    tracks = F.transform(get("tracks"), lambda item: F.concat(item["track_id"], F.lit(":"), item["label"]))
-    keypoints = F.flatten(
-        F.transform(
-            get("poses"),
-            lambda pose: F.transform(F.filter(pose["keypoints"], lambda k: k["visible"]), lambda k: k["name"]),
-        )
+    return (
+        f"concat({p}classifications.label, {p}boxes.label, {p}segments.label, {p}poses.label, {p}texts.text,"
+        f" transform({p}tracks, t -> concat(t.track_id, ':', t.label)),"
+        f" flatten(transform({p}poses, x -> transform(filter(x.keypoints, k -> k.visible), k -> k.name))))"
     )
-    return F.concat(*names, texts, tracks, keypoints)
 
 
-def jaccard(a: Column, b: Column) -> Column:
+def label_bag(prefix: str = "") -> Column:
+    return F.expr(label_bag_sql(prefix))
+
+
+def jaccard_sql(a: str, b: str) -> str:
     """Shared over all distinct values: 1 for two empty sides, 0 for one."""
     return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0)
-        .when((F.size(a) == 0) | (F.size(b) == 0), 0.0)
-        .otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+        f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D"
+        f" ELSE size(array_intersect({a}, {b})) / size(array_union({a}, {b})) END"
     )
 
 
-def result_consistency(a: Getter, b: Getter, threshold: float = MATCH_IOU) -> Column:
+def result_consistency_sql(a: str, b: str, threshold: float = MATCH_IOU) -> str:
     """Agreement of two results: by boxes if any, else by segments, else by their label bags."""
-    any_boxes = (F.size(a("boxes")) > 0) | (F.size(b("boxes")) > 0)
-    any_segments = (F.size(a("segments")) > 0) | (F.size(b("segments")) > 0)
-    return (
-        F.when(any_boxes, match_score(a("boxes"), b("boxes"), threshold))
-        .when(
-            any_segments,
-            match_score(
-                F.transform(a("segments"), segment_to_box), F.transform(b("segments"), segment_to_box), threshold
-            ),
-        )
-        .otherwise(jaccard(label_bag(a), label_bag(b)))
-    )
 
+    def some(kind: str) -> str:
+        return f"size({a}{kind}) > 0 OR size({b}{kind}) > 0"
 
-def confidences(get: Getter = F.col) -> Column:
-    own = [F.transform(get(kind), lambda item: item["confidence"]) for kind in KINDS]
-    keypoints = F.flatten(
-        F.transform(get("poses"), lambda pose: F.transform(pose["keypoints"], lambda k: k["confidence"]))
+    segments = [SEGMENT_BOX_SQL.format(f"{p}segments") for p in (a, b)]
+    return (
+        f"CASE WHEN {some('boxes')} THEN {match_score_sql(f'{a}boxes', f'{b}boxes', threshold)}"
+        f" WHEN {some('segments')} THEN {match_score_sql(*segments, threshold)}"
+        f" ELSE {jaccard_sql(label_bag_sql(a), label_bag_sql(b))} END"
     )
-    return F.concat(*own, keypoints)
 
 
-def mean_confidence(get: Getter = F.col) -> Column:
+def mean_confidence(prefix: str = "") -> Column:
     """Mean over all items and all keypoints, 0 without any."""
-    values = confidences(get)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, c: acc + c)
-    return F.when(F.size(values) == 0, 0.0).otherwise(total / F.size(values))
+    own = ", ".join(f"{prefix}{kind}.confidence" for kind in KINDS)
+    values = f"concat({own}, flatten({prefix}poses.keypoints).confidence)"
+    return F.expr(
+        f"CASE WHEN size({values}) = 0 THEN 0D ELSE aggregate({values}, 0D, (acc, c) -> acc + c) / size({values}) END"
+    )
 
 
-def label_count(get: Getter = F.col) -> Column:
+def label_count() -> Column:
     """Number of labels; a pose counts once, its keypoints do not."""
-    total = F.lit(0)
-    for kind in KINDS:
-        total = total + F.size(get(kind))
-    return total
+    return F.expr(" + ".join(f"size({kind})" for kind in KINDS))
+
+
+def items_of(kind: str) -> Column:
+    """The array of a kind, to be exploded.
+
+    Exploding the bare column would make Spark infer a filter on it and, where
+    the column is still to be parsed, parse once more for that filter.
+    """
+    return F.transform(F.col(kind), lambda item: item)

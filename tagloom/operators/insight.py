@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.schemas import KINDS
@@ -15,17 +15,17 @@ ORDER = ("image_name", "kind_ix", "item_ix")
 
 def label_stream(results: DataFrame, keys: Sequence[str] = ("image_name",)) -> DataFrame:
     """One row per label of the six kinds: keys, kind, kind_ix, item_ix, label. Read texts all count as ``text``."""
-    streams = []
-    for kind_ix, kind in enumerate(KINDS):
-        label = (lambda item: F.lit("text")) if kind == "texts" else (lambda item: item["label"])
-        streams.append(
-            F.transform(
-                F.col(kind),
-                lambda item, ix, label=label, kind=kind, kind_ix=kind_ix: F.struct(
-                    F.lit(kind).alias("kind"), F.lit(kind_ix).alias("kind_ix"), ix.alias("item_ix"), label(item).alias("label")
-                ),
+
+    def stream(kind_ix: int, kind: str) -> Column:
+        def one(item: Column, ix: Column) -> Column:
+            label = F.lit("text") if kind == "texts" else item["label"]
+            return F.struct(
+                F.lit(kind).alias("kind"), F.lit(kind_ix).alias("kind_ix"), ix.alias("item_ix"), label.alias("label")
             )
-        )
+
+        return F.transform(F.col(kind), one)
+
+    streams = [stream(kind_ix, kind) for kind_ix, kind in enumerate(KINDS)]
     return results.select(*keys, F.inline(F.concat(*streams)))
 
 

@@ -13,11 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.geometry import MATCH_IOU, greedy_match, iou
+from tagloom.functions.geometry import MATCH_IOU, greedy_match_sql, iou_sql
 from tagloom.operators.groups import GROUP_LIMIT, rank_in_group, split_hot
 from tagloom.plans.stages import stage
 from tagloom.schemas import CORNERS
 
+# Boxes per group up to which a plain join may pair them all before the IoU test.
+PAIRED_GROUP_LIMIT = 64
+
 
 def match_boxes(
     left: DataFrame,
@@ -55,7 +58,7 @@ def _match_in_rows(sides: DataFrame, keys: list[str], threshold: float, label: s
         F.sort_array(F.collect_list(F.when(F.col("side") == 0, item))).alias("left"),
         F.sort_array(F.collect_list(F.when(F.col("side") == 1, item))).alias("right"),
     )
-    matches = greedy_match(F.col("left"), F.col("right"), threshold, label)
+    matches = F.expr(greedy_match_sql("left", "right", threshold, label))
     return grouped.select(*keys, "left", "right", F.explode(matches).alias("m")).select(
         *keys,
         F.get(F.col("left"), F.col("m.left_pos"))["item_ix"].alias("left_ix"),
@@ -67,75 +70,90 @@ def _match_in_rows(sides: DataFrame, keys: list[str], threshold: float, label: s
 # --- candidates: which boxes can reach the threshold at all --------------------------------------
 
 
-def _levels(threshold: float) -> float:
-    # a hair above 1/threshold, so that rounding never puts two partners more than one level apart
-    return 1.0001 / threshold
-
-
-def _level(extent: Column, ratio: float) -> Column:
-    return F.floor(F.log(extent) / F.lit(math.log(ratio))).cast("int")
+def _size_level(extent: Column, base: float) -> Column:
+    return F.log(extent) / F.lit(math.log(base))
 
 
-def _cell_size(level: Column, ratio: float) -> Column:
-    return F.pow(F.lit(ratio), level + 1)
+def _home_cell(low: str, high: str, base: float) -> Column:
+    level = F.floor(_size_level(F.col(high) - F.col(low), base))
+    return F.struct(level.alias("level"), F.floor(F.col(low) / F.pow(F.lit(base), level + 1)).alias("cell"))
 
 
-def _home_cell(low: str, high: str, ratio: float) -> Column:
-    level = _level(F.col(high) - F.col(low), ratio)
-    return F.struct(level.alias("level"), F.floor(F.col(low) / _cell_size(level, ratio)).alias("cell"))
-
-
-def _reachable_cells(low: str, high: str, threshold: float, ratio: float) -> Column:
-    """Cells of the three neighbouring size levels whose boxes can overlap enough on this axis."""
+def _reachable_cells(low: str, high: str, threshold: float, base: float) -> Column:
+    """Cells of the one or two size levels whose boxes can overlap enough on this axis."""
     extent = F.col(high) - F.col(low)
+    at, spread = _size_level(extent, base), F.lit(math.log(1 / threshold) / math.log(base) + 1e-6)
 
-    def cells(step: Column) -> Column:
-        level = (_level(extent, ratio) + step).cast("int")
-        size = _cell_size(level, ratio)
-        reach = F.greatest(extent, size) * F.lit((1 - threshold) * (1 + 1e-9)) + F.lit(1e-12)
+    def cells(level: Column) -> Column:
+        size = F.pow(F.lit(base), level + 1)
+        wider = F.least(F.greatest(extent, size), extent * F.lit(1.0001 / threshold))
+        reach = wider * F.lit((1 - threshold) * (1 + 1e-9)) + F.lit(1e-12)
         return F.transform(
             F.sequence(F.floor((F.col(low) - reach) / size), F.floor((F.col(low) + reach) / size)),
             lambda cell: F.struct(level.alias("level"), cell.alias("cell")),
         )
 
-    return F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), cells))
+    return F.flatten(F.transform(F.sequence(F.floor(at - spread), F.floor(at + spread)), cells))
 
 
-def candidate_pairs(
-    left: DataFrame, right: DataFrame, on: Sequence[str], threshold: float = MATCH_IOU
-) -> DataFrame:
-    """All pairs of boxes, equal on ``on``, with IoU at or above the threshold.
+def _named_side(df: DataFrame, name: str, on: list[str], shared: Sequence[str] = ()) -> DataFrame:
+    kept = [*on, *shared]
+    return df.select(*kept, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in kept])
+
+
+def grid_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], threshold: float = MATCH_IOU) -> DataFrame:
+    """All pairs of boxes, equal on ``on``, with IoU at or above the threshold, for groups of any size.
 
-    Boxes meet in grid cells that fit their size: partners differ by less than
+    Boxes meet in grid cells that fit their size: partners differ by at most
     ``1/threshold`` in width and height and lie within a fixed share of their
     width, so a left box probes a constant number of cells and never the whole
     group. Left columns come as ``left_*``, right columns as ``right_*``.
     """
     _check_threshold(threshold)
     on = list(on)
-    ratio = _levels(threshold)
+    # levels are two partners' ratios wide, so that partners are at most one level apart
+    base = 1.0001 / threshold**2
     solid = (F.col("xmin") < F.col("xmax")) & (F.col("ymin") < F.col("ymax"))
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        extra = [c for c in df.columns if c not in (*on, "_x", "_y")]
-        return df.select(*on, *[F.col(c).alias(f"{name}_{c}") for c in extra], "_x", "_y")
-
     probes = (
         left.filter(solid)
-        .withColumn("_x", F.explode(_reachable_cells("xmin", "xmax", threshold, ratio)))
-        .withColumn("_y", F.explode(_reachable_cells("ymin", "ymax", threshold, ratio)))
+        .withColumn("_x", F.explode(_reachable_cells("xmin", "xmax", threshold, base)))
+        .withColumn("_y", F.explode(_reachable_cells("ymin", "ymax", threshold, base)))
     )
     homes = (
         right.filter(solid)
-        .withColumn("_x", _home_cell("xmin", "xmax", ratio))
-        .withColumn("_y", _home_cell("ymin", "ymax", ratio))
+        .withColumn("_x", _home_cell("xmin", "xmax", base))
+        .withColumn("_y", _home_cell("ymin", "ymax", base))
     )
-    joined = side(probes, "left").join(side(homes, "right"), [*on, "_x", "_y"]).drop("_x", "_y")
+    cell = ["_x", "_y"]
+    joined = _named_side(probes, "left", on, cell).join(_named_side(homes, "right", on, cell), [*on, *cell])
+    return _overlapping(joined.drop(*cell), threshold)
+
 
-    def box(name: str) -> dict[str, Column]:
-        return {c: F.col(f"{name}_{c}") for c in CORNERS}
+def _overlapping(pairs: DataFrame, threshold: float) -> DataFrame:
+    return pairs.withColumn("iou", F.expr(iou_sql("left_", "right_"))).filter(F.col("iou") >= threshold)
 
-    return joined.withColumn("iou", iou(box("left"), box("right"))).filter(F.col("iou") >= threshold)
+
+def candidate_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    threshold: float = MATCH_IOU,
+    limit: int = PAIRED_GROUP_LIMIT,
+) -> DataFrame:
+    """The pairs of :func:`grid_pairs`; groups within the limit are simply joined on ``on``."""
+    _check_threshold(threshold)
+    on = list(on)
+    sides = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
+    cold, hot = split_hot(sides, on, limit)
+
+    def side(df: DataFrame, which: int) -> DataFrame:
+        return df.filter(F.col("_side") == which).drop("_side")
+
+    joined = _named_side(side(cold, 0), "left", on).join(_named_side(side(cold, 1), "right", on), on)
+    pairs = _overlapping(joined, threshold)
+    if hot is not None:
+        pairs = pairs.unionByName(grid_pairs(side(hot, 0), side(hot, 1), on, threshold))
+    return pairs
 
 
 # --- large groups: exact greedy matching in rounds -----------------------------------------------
@@ -165,7 +183,7 @@ def match_boxes_distributed(
         "right-shapes",
     )
     candidates = stage(
-        candidate_pairs(left_shapes, right_shapes.drop("copies"), [*keys, label], threshold).select(
+        grid_pairs(left_shapes, right_shapes.drop("copies"), [*keys, label], threshold).select(
             F.col("left_left_shape").alias("left_shape"), F.col("right_right_shape").alias("right_shape"), "iou"
         ),
         "shape-candidates",
