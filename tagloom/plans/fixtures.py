@@ -6,6 +6,9 @@ the last step, so both engines get the same doubles.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from tagloom.functions.answers import parse_answers
 from tagloom.functions.labels import mean_confidence
 from tagloom.functions.values import uncertainty
 
+# The stand-in models travel to the workers by value: these need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RUNS = (0, 1, 2)
 LOW_MODEL = "mini-vision"
 HIGH_MODEL = "pro-vision"
@@ -47,6 +53,15 @@ def images(t: Tables) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The table in at least as many partitions as there are cores: a file of one row group is one task.
+
+    A table of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 # --- long tables from lineitem ---------------------------------------------------------------------
 
 
@@ -242,7 +257,7 @@ def box_answers(t: Tables) -> DataFrame:
         "50 + (c + 7 * b + run * 13) % 50",
     )
     return (
-        t.orders.selectExpr("o_orderkey AS k", "o_custkey AS c")
+        spread(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey").selectExpr("o_orderkey AS k", "o_custkey AS c")
         .withColumn("run", F.explode(F.array(*[F.lit(r) for r in RUNS])))
         .selectExpr("k", "run", f"{made} AS made")
         .selectExpr("k AS image_id", "run", f"{ANSWER_TEXT} AS raw_text")
@@ -264,7 +279,7 @@ def run_images(t: Tables) -> DataFrame:
     strong = _made_boxes("true", LABEL_OF, X_OF, Y_OF, "80 + (c + b) % 20")
     answers = [ANSWER_TEXT.replace("transform(made,", f"transform(made_{r},") + f" AS run_{r}" for r in RUNS]
     return (
-        t.orders.selectExpr("*", "o_orderkey AS k", "o_custkey AS c")
+        spread(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey").selectExpr("*", "o_orderkey AS k", "o_custkey AS c")
         .selectExpr("k", "o_orderkey", *[f"{sql} AS {name}" for name, sql in made.items()], f"{strong} AS made")
         .selectExpr(*IMAGE_COLUMNS, *answers, f"{_BOX_TEXT} AS canned")
         .withColumn("image_path", F.concat(F.lit(f"{IMAGE_FOLDER}/"), "image_name"))
@@ -287,7 +302,7 @@ def full_answers(t: Tables) -> DataFrame:
     corners = f"'xmin', {x}, 'ymin', {y}, 'xmax', {x2}, 'ymax', {y2}"
     some = "CASE WHEN {} THEN array({}) ELSE array() END"
     return (
-        t.orders.selectExpr(
+        spread(t.orders, "o_orderkey").selectExpr(
             "o_orderkey AS k",
             "o_custkey AS c",
             "o_orderpriority AS priority",
@@ -340,7 +355,7 @@ def final_labels(t: Tables) -> DataFrame:
 
 
 def class_answers(t: Tables) -> DataFrame:
-    return t.events.selectExpr(
+    return spread(t.events, "event_id").selectExpr(
         "event_id AS image_id",
         "to_json(named_struct('classifications', transform(filter(sequence(0, 2), j -> j <= event_id % 3), j ->"
         " named_struct('label', concat(event_type, '_', CAST((event_id + j) % 7 AS STRING)),"
@@ -349,7 +364,7 @@ def class_answers(t: Tables) -> DataFrame:
 
 
 def segment_answers(t: Tables) -> DataFrame:
-    return t.part.selectExpr(
+    return spread(t.part, "p_partkey").selectExpr(
         "p_partkey AS image_id",
         "to_json(named_struct('segments', transform(filter(sequence(0, 2), j -> j <= p_partkey % 3), j ->"
         " named_struct('label', concat(p_type, ' ', CAST(j AS STRING)),"
@@ -361,7 +376,7 @@ def segment_answers(t: Tables) -> DataFrame:
 
 def pose_answers(t: Tables) -> DataFrame:
     """Keypoints with an empty name now and then, and visibility as text, number or boolean."""
-    return t.embeddings.selectExpr(
+    return spread(t.embeddings, "vec_id").selectExpr(
         "vec_id AS image_id",
         "concat('{\"poses\": [{\"confidence\": ', CAST(70 + label AS STRING), ', \"keypoints\": [',"
         " array_join(transform(sequence(0, 4), q -> concat('{\"name\": \"',"
@@ -375,7 +390,7 @@ def pose_answers(t: Tables) -> DataFrame:
 
 def text_answers(t: Tables) -> DataFrame:
     """Whole document texts as read text regions, inside a fenced block."""
-    return t.documents.selectExpr(
+    return spread(t.documents, "doc_id").selectExpr(
         "doc_id AS image_id",
         "concat('```json\\n', to_json(named_struct('texts', array(named_struct('text', text,"
         " 'xmin', CAST((doc_id * 13) % 600 AS DOUBLE) / 1000, 'ymin', CAST((doc_id * 17) % 600 AS DOUBLE) / 1000,"
@@ -385,7 +400,7 @@ def text_answers(t: Tables) -> DataFrame:
 
 
 def track_answers(t: Tables) -> DataFrame:
-    return t.events.selectExpr(
+    return spread(t.events, "event_id").selectExpr(
         "event_id AS image_id",
         "to_json(named_struct('tracks', array(named_struct('track_id', user_id, 'frame_id', CAST(event_id % 50 AS STRING),"
         " 'label', event_type, 'xmin', (event_id * 7) % 800, 'ymin', (event_id * 11) % 800,"
