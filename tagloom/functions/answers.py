@@ -25,7 +25,7 @@ _SPACE = r"r'(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$'"
 
 def _let(name: str, value: str, body: str) -> str:
     """``body`` with ``name`` standing for a value that is computed once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def _strip(text: str) -> str:

@@ -47,6 +47,9 @@ IMAGE_COLUMNS = (
 )
 
 
+IMAGE_NAMES = tuple(column.rsplit(" AS ", 1)[1] for column in IMAGE_COLUMNS)
+
+
 def images(t: Tables) -> DataFrame:
     return t.orders.selectExpr(*IMAGE_COLUMNS).withColumn(
         "image_path", F.concat(F.lit(f"{IMAGE_FOLDER}/"), "image_name")
@@ -287,7 +290,7 @@ def run_images(t: Tables) -> DataFrame:
 
 
 def full_answers(t: Tables) -> DataFrame:
-    """One answer per order with all six kinds of labels."""
+    """One answer per order with all six kinds of labels, next to the image facts."""
     made = _made_boxes("true", LABEL_OF, X_OF, Y_OF, "50 + (c + 7 * b) % 50")
     unit = "CAST({} AS DOUBLE) / 1000"
     x, y = unit.format("sx"), unit.format("sy")
@@ -311,10 +314,11 @@ def full_answers(t: Tables) -> DataFrame:
             "(o_custkey * 11 + o_orderkey * 3) % 700 AS sy",
             "80 + (o_custkey * 13) % 220 AS sw",
             "80 + (o_orderkey * 17) % 220 AS sh",
+            *IMAGE_COLUMNS,
         )
         .selectExpr("*", f"{made} AS made")
         .selectExpr(
-            "k AS image_id",
+            *IMAGE_NAMES,
             "to_json(named_struct("
             "'classifications', array(named_struct('label', priority, 'confidence', CAST(k % 100 AS DOUBLE) / 100)),"
             f" 'boxes', {_json_boxes(_UNIT)},"
@@ -343,8 +347,7 @@ def final_labels(t: Tables) -> DataFrame:
     """The full answers as a table of final results with image facts and scores."""
     parsed = parse_answers(full_answers(t)).drop("raw_text", "parse_ok", "ok", "error")
     return (
-        images(t)
-        .join(parsed, "image_id")
+        parsed.withColumn("image_path", F.concat(F.lit(f"{IMAGE_FOLDER}/"), "image_name"))
         .withColumn("task_type", F.lit("all"))
         .withColumn("status", F.when(F.col("image_id") % 3 == 0, "Escalated").otherwise("Consistent"))
         .withColumn("source_model", F.when(F.col("image_id") % 3 == 0, HIGH_MODEL).otherwise(LOW_MODEL))

@@ -141,7 +141,8 @@ def _labelled_run(t: Tables) -> labeling.Run:
     low = labeling.Tier(LOW_MODEL, fixtures.draft_model)
     high = labeling.Tier(HIGH_MODEL, fixtures.canned_model)
     options = labeling.Options(backoff_seconds=0.0, batch_size=4096)
-    return labeling.label_images(fixtures.run_images(t), low, high, options)
+    # stored, as real image tables are: each attempt and tier reads the requests again
+    return labeling.label_images(stage(fixtures.run_images(t), "run-images"), low, high, options)
 
 
 @query
@@ -441,10 +442,11 @@ def custom_documents(t: Tables) -> DataFrame:
 @query
 def vision_records(t: Tables) -> DataFrame:
     """Members of the JSON records, read back from their text."""
-    record = documents.vision_records(fixtures.final_labels(t))
-    text = lambda path: F.get_json_object("record", f"$.{path}")
-    whole = lambda path, name: text(path).cast("bigint").alias(name)
-    real = lambda path, name: _r(text(path).cast("double"), name)
+    lines = documents.vision_records(fixtures.final_labels(t))
+    record = lines.select("image_id", F.parse_json("record").alias("record"))
+    text = lambda path: F.variant_get("record", f"$.{path}", "string")
+    whole = lambda path, name: F.variant_get("record", f"$.{path}", "bigint").alias(name)
+    real = lambda path, name: _r(F.variant_get("record", f"$.{path}", "double"), name)
     return record.select(
         "image_id",
         text("image_name").alias("image_name"),
@@ -604,14 +606,15 @@ def class_report(t: Tables) -> DataFrame:
 
 
 def _requests(t: Tables) -> DataFrame:
-    """One request per image and run, with the text the stand-in model will give."""
-    return fixtures.box_answers(t).select(
+    """One request per image and run, with the text the stand-in model will give; stored, as retries read it again."""
+    requests = fixtures.box_answers(t).select(
         "image_id",
         F.lit("low").alias("tier"),
         "run",
         F.lit(LOW_MODEL).alias("model"),
         F.col("raw_text").alias("canned"),
     )
+    return stage(requests, "requests")
 
 
 def _answered(t: Tables) -> DataFrame:
@@ -651,7 +654,7 @@ def unreadable_images(t: Tables) -> DataFrame:
 @query
 def inference_resume(t: Tables) -> DataFrame:
     """Requests that are left when the answers of some images are already stored."""
-    requests = _requests(t)
+    requests = fixtures.box_answers(t).select("image_id", F.lit("low").alias("tier"), "run")
     done = requests.filter("(image_id + run) % 4 <> 0")
     return inference.remaining_requests(requests, done).select("image_id", "tier", "run")
 
