@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators.ids import dense_ids
 from tagloom.schemas import KINDS
 
 IMBALANCE_RATIO = 3.0
@@ -76,7 +77,7 @@ def imbalance(distribution: DataFrame, ratio: float = IMBALANCE_RATIO) -> DataFr
 
 
 def report_lines(distribution: DataFrame) -> DataFrame:
-    """Text lines of the distribution, numbered by first appearance (a report on distinct classes)."""
-    position = F.row_number().over(Window.orderBy("first_seen"))
+    """Text lines of the distribution, numbered by first appearance."""
+    numbered = dense_ids(distribution, ["first_seen"], "line_no", start=1)
     text = F.format_string("- %s: %d (%.1f%%)", "label", "n", F.bround("percentage", 1))
-    return distribution.select(position.alias("line_no"), text.alias("line"))
+    return numbered.select(F.col("line_no").cast("int").alias("line_no"), text.alias("line"))

@@ -77,7 +77,7 @@ def strong_factory():
 
 @pytest.fixture
 def run(spark, folder, tmp_path):
-    scanned = image_source.with_image_ids(image_source.scan_images(spark, folder, with_content=True))
+    scanned = image_source.with_image_ids(image_source.scan_images(spark, folder))
     sizes = image_source.image_sizes(spark, folder).select("image_path", "image_width", "image_height")
     # the two sources spell the path alike but for the number of slashes
     tail = lambda c: F.regexp_replace(c, "^file:/+", "/")
@@ -85,7 +85,7 @@ def run(spark, folder, tmp_path):
         sizes.withColumn("image_path", tail(F.col("image_path"))), "image_path", "left"
     )
     options = labeling.Options(
-        formats="all", template=TEMPLATE, extension="json", backoff_seconds=0.0, store=str(tmp_path / "answers")
+        formats="all", template=TEMPLATE, extension="json", backoff_seconds=0.0, store=str(tmp_path / "answers"), read_content=True
     )
     return labeling.label_images(
         images, labeling.Tier("small-haiku", draft_factory), labeling.Tier("big-opus", strong_factory), options
@@ -156,7 +156,7 @@ def test_whole_run(spark, run, folder, tmp_path):
     # every answer is stored, so a restarted run has nothing left to ask
     stored = inference.read_answers(spark, run.options.store)
     assert stored.count() == run.responses.count() == 10
-    requests = inference.draft_requests(run.images.drop("content"), "small-haiku").filter("image_name <> 'broken.png'")
+    requests = inference.draft_requests(run.images, "small-haiku").filter("image_name <> 'broken.png'")
     assert inference.remaining_requests(requests, stored).count() == 0
 
 
@@ -179,6 +179,21 @@ def test_failed_answers_end_empty(spark):
     assert [rows[i].ok for i in range(6)] == [True] * 4 + [False] * 2 and rows[5].boxes == []
 
 
+def test_content_in_the_requests_or_read_by_the_worker(spark, folder):
+    def factory():
+        return lambda batch: [f'{{"classifications": [{{"label": "{len(c)}"}}]}}' for c in batch["content"]]
+
+    scanned = image_source.with_image_ids(image_source.scan_images(spark, folder, with_content=True))
+    missing = scanned.limit(1).select("image_name", F.lit("/no/such/file.png").alias("image_path"), "n_bytes", "content", F.lit(0).cast("bigint").alias("image_id"))
+    carried = inference.infer(inference.draft_requests(scanned, "m", drafts=1), factory, backoff_seconds=0.0)
+    lazy = inference.draft_requests(scanned.unionByName(missing).drop("content"), "m", drafts=1)
+    read = inference.infer(lazy, factory, backoff_seconds=0.0, read_content=True)
+    sizes = lambda df: {r.image_id: [c.label for c in r.classifications] for r in df.collect()}
+    assert sizes(read.filter("ok")) == sizes(carried) and len(sizes(carried)) == 4
+    (row,) = read.filter("NOT ok").collect()
+    assert row.image_id == 0 and row.error.startswith("unreadable image")
+
+
 def test_argument_rules():
     assert label_formats("all") == ["yolo", "pascal_voc", "coco", "vision_json"]
     assert label_formats(" COCO, yolo,coco,") == ["coco", "yolo"]
