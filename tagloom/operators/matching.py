@@ -30,7 +30,7 @@ def match_boxes(
     label: str = "label",
     limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """Matched pairs: keys, left_ix, right_ix, iou."""
+    """Matched pairs: keys, the label they share, left_ix, right_ix, iou."""
     _check_threshold(threshold)
     keys = list(keys)
     columns = [*keys, label, "item_ix", *CORNERS]
@@ -61,6 +61,7 @@ def _match_in_rows(sides: DataFrame, keys: list[str], threshold: float, label: s
     matches = F.expr(greedy_match_sql("left", "right", threshold, label))
     return grouped.select(*keys, "left", "right", F.explode(matches).alias("m")).select(
         *keys,
+        F.get(F.col("left"), F.col("m.left_pos"))[label].alias(label),
         F.get(F.col("left"), F.col("m.left_pos"))["item_ix"].alias("left_ix"),
         F.get(F.col("right"), F.col("m.right_pos"))["item_ix"].alias("right_ix"),
         F.col("m.iou").alias("iou"),
@@ -229,8 +230,8 @@ def match_boxes_distributed(
     if taken is None:
         taken = candidates.join(items, "left_shape").select("left_shape", "item_ix", "right_shape", "iou").limit(0)
     handed = rank_in_group(taken, ["right_shape"], "item_ix", "copy").join(right_copies, ["right_shape", "copy"])
-    return handed.join(left_shapes.select("left_shape", *keys), "left_shape").select(
-        *keys, F.col("item_ix").alias("left_ix"), "right_ix", "iou"
+    return handed.join(left_shapes.select("left_shape", *keys, label), "left_shape").select(
+        *keys, label, F.col("item_ix").alias("left_ix"), "right_ix", "iou"
     )
 
 

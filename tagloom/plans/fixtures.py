@@ -69,8 +69,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def _items(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("k")).agg(
-        F.min("l_partkey").alias("p"), F.min(F.concat("l_returnflag", "l_linestatus")).alias("lab")
+    # the two one-letter flags as a number: a minimum of strings would sort the table instead of hashing it
+    flags = F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus")
+    return (
+        t.lineitem.groupBy(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("k"))
+        .agg(F.min("l_partkey").alias("p"), F.min(flags).alias("flags"))
+        .selectExpr("image_id", "k", "p", "concat(chr(flags DIV 256), chr(flags % 256)) AS lab")
     )
 
 

@@ -530,8 +530,12 @@ def label_paths(t: Tables) -> DataFrame:
 # --- evaluation --------------------------------------------------------------------------------------
 
 
+def _stored_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return stage(fixtures.predicted_boxes(t), "predicted"), stage(fixtures.truth_boxes(t), "truth")
+
+
 def _outcomes(t: Tables, **options) -> DataFrame:
-    return evaluate.detection_outcomes(fixtures.predicted_boxes(t), fixtures.truth_boxes(t), **options)
+    return evaluate.detection_outcomes(*_stored_sides(t), **options)
 
 
 def _rounded_evaluation(totals: DataFrame, *by: str) -> DataFrame:
@@ -557,14 +561,14 @@ def detection_eval_by_class(t: Tables) -> DataFrame:
 
 @query
 def detection_matches(t: Tables) -> DataFrame:
-    return evaluate.match_detections(fixtures.predicted_boxes(t), fixtures.truth_boxes(t)).select(
+    return evaluate.match_detections(*_stored_sides(t)).select(
         "image_id", "left_ix", "right_ix", _r("iou")
     )
 
 
 @query
 def missed_truth(t: Tables) -> DataFrame:
-    return evaluate.missed_truth(fixtures.predicted_boxes(t), fixtures.truth_boxes(t)).select(
+    return evaluate.missed_truth(*_stored_sides(t)).select(
         "image_id", "item_ix", "class_id", *_corners()
     )
 
