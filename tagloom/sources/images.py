@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.values import base_name, is_image_name
 
+def _path(column: Column) -> Column:
+    """One spelling for local files: the two sources differ in the slashes behind ``file:``."""
+    return F.regexp_replace(column, "^file:/+", "/")
+
+
 PNG_SIGNATURE = "89504E470D0A1A0A"
 
 
@@ -17,7 +22,7 @@ def scan_images(spark: SparkSession, folder: str, with_content: bool = False) ->
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     name = base_name(F.col("path"))
-    columns = [name.alias("image_name"), F.col("path").alias("image_path"), F.col("length").alias("n_bytes")]
+    columns = [name.alias("image_name"), _path(F.col("path")).alias("image_path"), F.col("length").alias("n_bytes")]
     if with_content:
         columns.append(F.col("content"))
     return files.filter(is_image_name(name)).select(*columns)
@@ -36,7 +41,7 @@ def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
     readable = width > 0
     return decoded.filter(is_image_name(path)).select(
         base_name(path).alias("image_name"),
-        path.alias("image_path"),
+        _path(path).alias("image_path"),
         F.when(readable, width).alias("image_width"),
         F.when(readable, height).alias("image_height"),
     )

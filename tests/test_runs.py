@@ -79,11 +79,7 @@ def strong_factory():
 def run(spark, folder, tmp_path):
     scanned = image_source.with_image_ids(image_source.scan_images(spark, folder))
     sizes = image_source.image_sizes(spark, folder).select("image_path", "image_width", "image_height")
-    # the two sources spell the path alike but for the number of slashes
-    tail = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    images = scanned.withColumn("image_path", tail(F.col("image_path"))).join(
-        sizes.withColumn("image_path", tail(F.col("image_path"))), "image_path", "left"
-    )
+    images = scanned.join(sizes, "image_path", "left")
     options = labeling.Options(
         formats="all", template=TEMPLATE, extension="json", backoff_seconds=0.0, store=str(tmp_path / "answers"), read_content=True
     )
