@@ -2,7 +2,7 @@
 
 A candidate list is all rows (key, id) of one key. Every member is verified against one leader of its list; that
 joins a list of near copies with as many checks as it has members. Only members whose groups still differ are
-compared further, and only if length, position and distance to the common leader leave a link possible. What is
+compared further, and only if length, position and what both share with the common leader leave a link possible. What is
 skipped can't be a link or lies inside a group already, so the groups are those of all links among list members.
 Both 4/5 thresholds are exact in integers: a link has 5 * shared >= 4 * all.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ ABOVE, BELOW = 4, 5
 #: Rows of a key that go to one task; expected longer lists are salted
 LIST_ROWS = 20_000
 
-PAIRS = "a long, b long, n_a int, n_b int, shared int, exact boolean"
+PAIRS = "a long, b long, n_a int, n_b int, shared int, outside array<long>"
+#: Bits of the marks of a set: any power of two from 64 gives the same groups
+MARKS = 1024
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -63,22 +66,23 @@ def _possible(size_a: Column, size_b: Column, pos_a: Column | None, pos_b: Colum
     return fits & (most * (ABOVE + BELOW) >= (size_a + size_b) * ABOVE)
 
 
-def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], positional: bool) -> DataFrame:
+def linked_groups(lists: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], positional: bool) -> DataFrame:
     """Components (id, component) of the links among members of each list.
 
     ``lists``: key long, salts int (into how many parts the key's list is dealt), id long, size int, pos int (place of
-    the key in the id's sorted set, or 0). ``verify`` takes distinct pairs (a, b, n_a, n_b), a <> b, and returns them
-    with the sizes of the sets, their ``shared`` count and ``exact``; where that is false, ``shared`` is an upper bound
-    that rules a link out.
+    the key in the id's sorted set, or 0), weight float (the member with the most leads its list). ``verify`` takes
+    distinct pairs (a, b, n_a, n_b), a <> b, and whether all are needed in full, and returns rows of ``PAIRS``: sizes of
+    the sets, their ``shared`` count and the ``outside`` marks of what b has and a lacks. A pair that is not needed in
+    full may have an upper bound as ``shared`` where that rules a link out.
     """
     places = ("pos", "lead.pos") if positional else (None, None)
     part = Window.partitionBy("key", "salt")
-    member = F.struct("id", "size", "pos")
+    member = F.struct((-F.col("weight")).alias("heavy"), "id", "size", "pos")
     dealt = lists.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     shared = stage(
-        dealt.select("*", F.min(member).over(part).alias("lead"), F.max("id").over(part).alias("last"))
-        .where("salts > 1 or last <> lead.id")
-        .drop("last"),
+        dealt.select("*", F.min(member).over(part).alias("lead"), F.min("id").over(part).alias("low"), F.max("id").over(part).alias("high"))
+        .where("salts > 1 or low <> high")
+        .drop("low", "high"),
         "lists",
     )
     heads = shared.where("salts > 1 and id = lead.id").drop("lead").distinct()
@@ -91,15 +95,11 @@ def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], po
         ).select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.size").alias("n_a"), F.col("size").alias("n_b"))
 
     star = with_leads(shared).union(with_leads(heads)).distinct()
-    near = stage(verify(star), "verified")
+    near = stage(verify(star, True), "verified")
     links = near.where(_is_link())
     groups = components(links.select("a", "b"))
 
-    # distance to the leader: exact, or at least so much where a filter settled the pair
-    far = 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    known = near.select(
-        F.col("a").alias("lead_id"), F.col("b").alias("id"), far.alias("far"), F.when(F.col("exact"), far).otherwise(1.0).alias("near")
-    )
+    known = near.select(F.col("a").alias("lead_id"), F.col("b").alias("id"), "shared", "outside")
     member_rows = (
         shared.select("key", "id", "size", "pos", F.col("lead.id").alias("lead_id"))
         .join(groups, "id", "left")
@@ -111,28 +111,45 @@ def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], po
     x = rest.where("component <> low").select(*[F.col(c).alias(f"x_{c}") for c in rest.columns])
     y = rest.select(*[F.col(c).alias(f"y_{c}") for c in rest.columns])
     place = (F.col("x_pos"), F.col("y_pos")) if positional else (None, None)
-    # distances obey the triangle inequality: members at unlike distances from one leader can't be near each other
-    gap = F.greatest(F.col("x_far") - F.col("y_near"), F.col("y_far") - F.col("x_near"))
-    apart = F.coalesce((F.col("x_lead_id") == F.col("y_lead_id")) & (gap > 1 - ABOVE / BELOW + 1e-9), F.lit(False))
     open_pairs = x.join(
         y,
         (F.col("x_key") == F.col("y_key"))
         & (F.col("x_component") != F.col("y_component"))
         & ((F.col("y_component") == F.col("y_low")) | (F.col("x_id") < F.col("y_id")))
         & _possible(F.col("x_size"), F.col("y_size"), *place)
-        & ~apart,
+        & ~F.coalesce((F.col("x_lead_id") == F.col("y_lead_id")) & _apart(), F.lit(False)),
     ).select(
         F.least("x_id", "y_id").alias("a"),
         F.greatest("x_id", "y_id").alias("b"),
         F.when(F.col("x_id") < F.col("y_id"), F.col("x_size")).otherwise(F.col("y_size")).alias("n_a"),
         F.when(F.col("x_id") < F.col("y_id"), F.col("y_size")).otherwise(F.col("x_size")).alias("n_b"),
     ).distinct()
-    done = near.select("a", "b")
-    more = stage(verify(open_pairs.join(done, ["a", "b"], "left_anti")), "verified")
-    late = more.where(_is_link())
+    done = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    late = stage(verify(open_pairs.join(done, ["a", "b"], "left_anti"), False).where(_is_link()).select("a", "b"), "late")
     if late.isEmpty():
         return groups
-    return components(links.select("a", "b").union(late.select("a", "b")))
+    return components(links.select("a", "b").union(late))
+
+
+def _apart() -> Column:
+    """Two members can't be a link if what both have of their leader, and what their marks outside it leave, is too little.
+
+    Every mark only one of them has is at least one element that isn't shared.
+    """
+    only_x, only_y = F.lit(0), F.lit(0)
+    for i in range(MARKS // 64):
+        x, y = F.get("x_outside", F.lit(i)), F.get("y_outside", F.lit(i))
+        only_x = only_x + F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+        only_y = only_y + F.bit_count(y.bitwiseAND(F.bitwise_not(x)))
+    outside = F.least(F.col("x_size") - F.col("x_shared") - only_x, F.col("y_size") - F.col("y_shared") - only_y)
+    return (F.least("x_shared", "y_shared") + outside) * (ABOVE + BELOW) < (F.col("x_size") + F.col("y_size")) * ABOVE
+
+
+def marks(hashes: np.ndarray) -> list[int]:
+    """A bit for each of ``MARKS`` hash ranges in which a set has an element, as signed longs."""
+    bits = np.zeros(MARKS, dtype=np.uint8)
+    bits[(hashes & np.uint64(MARKS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
 
 
 def _is_link() -> Column:

@@ -118,6 +118,8 @@ def _prefixes(table):
             place = np.arange(len(rows)) - first[rows]
             prefix = sizes - -(-sizes * linking.ABOVE // linking.BELOW) + 1
             taken = place < prefix[rows]
+            # the text of a group of near copies with the fewest edits has the most frequent runs
+            usual_share = (np.bincount(rows, np.log1p(frequency), len(sizes)) / np.maximum(sizes, 1)).astype(np.float32)
             rows = rows[taken]
             salts = np.maximum(1, np.ceil((frequency[taken] - noise) / linking.LIST_ROWS)).astype(np.int32)
             for at in range(0, len(rows), 100_000):
@@ -129,37 +131,46 @@ def _prefixes(table):
                         pa.array(signatures[rows[cut]]),
                         pa.array(sizes[rows[cut]].astype(np.int32)),
                         pa.array(place[taken][cut].astype(np.int32)),
+                        pa.array(usual_share[rows[cut]]),
                     ],
-                    ["key", "salts", "id", "size", "pos"],
+                    ["key", "salts", "id", "size", "pos", "weight"],
                 )
 
     return run
 
 
-def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact size of the intersection of each pair whose suffix filter leaves a link possible; else that bound."""
-    kept_key, kept = None, None
-    for batch in batches:
-        names = batch.schema.names
-        side = {s: textvec.strings(batch.column(names.index(f"text_{s}"))) for s in "ab"}
-        a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        shared, exact, n_a, n_b, good = [], [], [], [], []
-        for i in range(batch.num_rows):
-            if kept_key != a_ids[i]:
-                kept_key, kept = a_ids[i], _set_of(*side["a"], i)
-            left, right = kept, _set_of(*side["b"], i)
-            good.append(left[2] == a_ids[i] and right[2] == b_ids[i])
-            n_a.append(len(left[0]))
-            n_b.append(len(right[0]))
-            bound = int(np.minimum(left[1], right[1]).sum())
-            need = -(-(n_a[-1] + n_b[-1]) * linking.ABOVE // (linking.ABOVE + linking.BELOW))
-            exact.append(bound >= need)
-            shared.append(_shared(left[0], right[0]) if bound >= need else bound)
-        out = pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(shared, pa.int32()), pa.array(exact, pa.bool_())],
-            ["a", "b", "n_a", "n_b", "shared", "exact"],
-        )
-        yield out.filter(pa.array(good, pa.bool_()))
+def _intersections(full: bool):
+    """Sizes and intersection of each pair; unless in ``full``, the suffix filter's bound where that excludes a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_key, kept = None, None
+        for batch in batches:
+            names = batch.schema.names
+            side = {s: textvec.strings(batch.column(names.index(f"text_{s}"))) for s in "ab"}
+            a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            shared, outside, n_a, n_b, good = [], [], [], [], []
+            for i in range(batch.num_rows):
+                if kept_key != a_ids[i]:
+                    kept_key, kept = a_ids[i], _set_of(*side["a"], i)
+                left, right = kept, _set_of(*side["b"], i)
+                good.append(left[2] == a_ids[i] and right[2] == b_ids[i])
+                n_a.append(len(left[0]))
+                n_b.append(len(right[0]))
+                bound = int(np.minimum(left[1], right[1]).sum())
+                if not full and bound * (linking.ABOVE + linking.BELOW) < (n_a[-1] + n_b[-1]) * linking.ABOVE:
+                    shared.append(bound)
+                    outside.append(None)
+                    continue
+                common = _is_in(right[0], left[0])
+                shared.append(int(common.sum()))
+                outside.append(linking.marks(right[0][~common]) if full else None)
+            out = pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int32()) for x in (n_a, n_b, shared)), pa.array(outside, pa.list_(pa.int64()))],
+                ["a", "b", "n_a", "n_b", "shared", "outside"],
+            )
+            yield out.filter(pa.array(good, pa.bool_()))
+
+    return run
 
 
 def _set_of(data: memoryview, offsets: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -168,12 +179,12 @@ def _set_of(data: memoryview, offsets: np.ndarray, i: int) -> tuple[np.ndarray,
     return hashes, parts, int(_signatures(hashes, bounds)[0])
 
 
-def _shared(left: np.ndarray, right: np.ndarray) -> int:
-    if not len(left) or not len(right):
-        return 0
-    at = np.searchsorted(left, right)
-    at[at == len(left)] = 0
-    return int((left[at] == right).sum())
+def _is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(values) or not len(sorted_set):
+        return np.zeros(len(values), dtype=bool)
+    at = np.searchsorted(sorted_set, values)
+    at[at == len(sorted_set)] = 0
+    return sorted_set[at] == values
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
@@ -183,13 +194,13 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     classes = described.where("n_shingles > 0").groupBy("signature").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
 
     table = docs.sparkSession.sparkContext.broadcast(slot_counts(docs).tobytes())
-    lists = docs.select("text").mapInArrow(_prefixes(table), "key long, salts int, id long, size int, pos int")
+    lists = docs.select("text").mapInArrow(_prefixes(table), "key long, salts int, id long, size int, pos int, weight float")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, full: bool) -> DataFrame:
         first = classes.select("signature", "first_doc")
         named = pairs.join(first.toDF("a", "doc_a"), "a").join(first.toDF("b", "doc_b"), "b")
         both = named.join(docs.toDF("doc_b", "text_b"), "doc_b").join(docs.toDF("doc_a", "text_a"), "doc_a")
-        found = both.select("a", "b", "text_a", "text_b").mapInArrow(_intersections, linking.PAIRS)
+        found = both.select("a", "b", "text_a", "text_b").mapInArrow(_intersections(full), linking.PAIRS)
         return found.distinct()
 
     groups = linking.linked_groups(lists, verify, positional=True)
