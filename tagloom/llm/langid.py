@@ -87,13 +87,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def clustered(vectors: np.ndarray, n: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Up to ``n`` unit centroids by cosine; the first is the text nearest the mean, the next are those farthest from all."""
+    """Up to ``n`` unit centroids by cosine; seeds are the text nearest the mean and then texts far
+    from all seeds (beyond the nearest tenth of what is farthest, so that no odd text is a cluster of its own)."""
     chosen = [int((vectors @ vectors.mean(axis=0)).argmax())]
     while len(chosen) < min(n, len(vectors)):
         near = (vectors @ vectors[chosen].T).max(axis=1)
         if near.min() > 0.9999:
             break
-        chosen.append(int(near.argmin()))
+        chosen.append(int(np.argsort(near, kind="stable")[len(near) // 10]))
     centroids = vectors[chosen].copy()
     for _ in range(rounds):
         own = (vectors @ centroids.T).argmax(axis=1)

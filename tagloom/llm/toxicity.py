@@ -2,7 +2,8 @@
 
 Only documents are labelled, so tokens get their labels from them: the word features (whole word, beginnings, endings)
 that explain most toxic documents and hardly any clean one are picked one after another, each time over the documents
-not yet explained; a word of a toxic document with a picked feature is a toxic token, all others are clean. The field
+not yet explained; so are features just as precise that stand between ever other words (in copies of a text they don't).
+A word of a toxic document with a picked feature is a toxic token, all others are clean. The field
 (two states, hashed features of each word, transitions) is fitted to these tokens by gradient steps on at most about
 ``SAMPLE`` documents of each label, chosen by a hash of the id (all of them, if fewer). Forward-backward marginals give
 toxic spans with character offsets; a document's score is a logistic function of its highest marginal.
@@ -26,10 +27,10 @@ from tagloom.llm import textvec
 SAMPLE = 2500
 CHAIN = 256
 BITS = 18
-STEPS = 40
+STEPS = 100
 #: A picked feature is in at least so many unexplained toxic documents, and this share of the documents it is in is toxic
 SUPPORT, PRECISION = 3, 0.8
-_CLEAN_CHAINS = 30_000
+_CLEAN_CHAINS = 20_000
 _BEGINNINGS, _ENDINGS = (3, 4, 5), (3, 4)
 _STOP = textvec.separators([(0x0A, 0x0A), (0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F)])
 
@@ -147,7 +148,25 @@ def toxic_tokens(words: Words, toxic: np.ndarray) -> np.ndarray:
         open_[docs[feature == best]] = False
         left = open_[docs]
         feature, docs = feature[left], docs[left]
-    return np.isin(words.features, names[picked]).any(axis=1) & toxic[words.rows]
+    picked = np.union1d(names[picked], _varied(words, toxic, names, clean))
+    return np.isin(words.features, picked).any(axis=1) & toxic[words.rows]
+
+
+def _varied(words: Words, toxic: np.ndarray, names: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Features as precise as the picked ones that stand between ever other words, as those of copied texts don't."""
+    around = np.concatenate([words.features[:, 0], np.zeros(2, dtype=np.uint64)])
+    context = textvec.mix(np.roll(around, 1)[:-2] * np.uint64(3) + around[1:-1] * np.uint64(5))
+    on_toxic = toxic[words.rows]
+    kinds = words.features.shape[1]
+    feature = np.searchsorted(names, words.features[on_toxic].reshape(-1))
+
+    def different(values: np.ndarray) -> np.ndarray:
+        pairs = np.unique(np.stack([feature.astype(np.uint64), np.repeat(values[on_toxic].astype(np.uint64), kinds)], axis=1), axis=0)
+        return np.bincount(pairs[:, 0].astype(np.int64), minlength=len(names))
+
+    docs, contexts = different(words.rows), different(context)
+    good = (docs >= 2 * SUPPORT) & (docs >= PRECISION * (docs + clean + 0.5)) & (contexts >= 0.5 * docs)
+    return names[good]
 
 
 def _trained(words: Words, labels: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
