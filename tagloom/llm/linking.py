@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,14 +67,16 @@ def _possible(size_a: Column, size_b: Column, pos_a: Column | None, pos_b: Colum
     return fits & (most * (ABOVE + BELOW) >= (size_a + size_b) * ABOVE)
 
 
-def linked_groups(lists: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], positional: bool) -> DataFrame:
+def linked_groups(
+    lists: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], positional: bool, prepare: Callable[[DataFrame], None] | None = None
+) -> DataFrame:
     """Components (id, component) of the links among members of each list.
 
     ``lists``: key long, salts int (into how many parts the key's list is dealt), id long, size int, pos int (place of
     the key in the id's sorted set, or 0), weight float (the member with the most leads its list). ``verify`` takes
     distinct pairs (a, b, n_a, n_b), a <> b, and whether all are needed in full, and returns rows of ``PAIRS``: sizes of
     the sets, their ``shared`` count and the ``outside`` marks of what b has and a lacks. A pair that is not needed in
-    full may have an upper bound as ``shared`` where that rules a link out.
+    full may have an upper bound as ``shared`` where that rules a link out. ``prepare`` is told all ids that share a list.
     """
     places = ("pos", "lead.pos") if positional else (None, None)
     part = Window.partitionBy("key", "salt")
@@ -85,6 +88,8 @@ def linked_groups(lists: DataFrame, verify: Callable[[DataFrame, bool], DataFram
         .drop("low", "high"),
         "lists",
     )
+    if prepare:
+        prepare(shared.select("id").distinct())
     heads = shared.where("salts > 1 and id = lead.id").drop("lead").distinct()
     heads = heads.withColumn("lead", F.min(member).over(Window.partitionBy("key")))
 
@@ -147,9 +152,15 @@ def _apart() -> Column:
 
 def marks(hashes: np.ndarray) -> list[int]:
     """A bit for each of ``MARKS`` hash ranges in which a set has an element, as signed longs."""
-    bits = np.zeros(MARKS, dtype=np.uint8)
-    bits[(hashes & np.uint64(MARKS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+    return marks_of_rows(hashes, np.zeros(len(hashes), dtype=np.int64), 1)[0].as_py()
+
+
+def marks_of_rows(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> pa.Array:
+    """``marks`` of the set of each row."""
+    bits = np.zeros((n_rows, MARKS), dtype=np.uint8)
+    bits[rows, (hashes & np.uint64(MARKS - 1)).astype(np.int64)] = 1
+    longs = np.packbits(bits, axis=1).view(np.int64)
+    return pa.ListArray.from_arrays(np.arange(n_rows + 1, dtype=np.int32) * longs.shape[1], longs.reshape(-1))
 
 
 def _is_link() -> Column:
