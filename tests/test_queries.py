@@ -2,6 +2,8 @@ import check_queries
 import pytest
 
 import __spark_entry__ as entry
+from tagloom.plans.oracles import ORACLES
+from tagloom.plans.queries import registered
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,7 +20,7 @@ def test_query_equals_its_sql_twin(spark, con, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(registered())
 
 
 def test_entry(spark):
