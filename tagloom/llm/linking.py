@@ -72,8 +72,8 @@ def linked_groups(
 ) -> DataFrame:
     """Components (id, component) of the links among members of each list.
 
-    ``lists``: key long, salts int (into how many parts the key's list is dealt), id long, size int, pos int (place of
-    the key in the id's sorted set, or 0), weight float (the member with the most leads its list). ``verify`` takes
+    ``lists``: key long, salts int (into how many parts the key's list is dealt), id long, size int (of its set, or 0 where
+    that isn't known yet: such lists have no length filter), pos int (place of the key in the id's sorted set, or 0), weight float (the member with the most leads its list). ``verify`` takes
     distinct pairs (a, b, n_a, n_b), a <> b, and whether all are needed in full, and returns rows of ``PAIRS``: sizes of
     the sets, their ``shared`` count and the ``outside`` marks of what b has and a lacks. A pair that is not needed in
     full may have an upper bound as ``shared`` where that rules a link out. ``prepare`` is told all ids that share a list.
@@ -104,7 +104,7 @@ def linked_groups(
     links = near.where(_is_link())
     groups = components(links.select("a", "b"))
 
-    known = near.select(F.col("a").alias("lead_id"), F.col("b").alias("id"), "shared", "outside")
+    known = near.select(F.col("a").alias("lead_id"), F.col("b").alias("id"), F.col("n_b").alias("exact"), "shared", "outside")
     member_rows = (
         shared.select("key", "id", "size", "pos", F.col("lead.id").alias("lead_id"))
         .join(groups, "id", "left")
@@ -146,8 +146,8 @@ def _apart() -> Column:
         x, y = F.get("x_outside", F.lit(i)), F.get("y_outside", F.lit(i))
         only_x = only_x + F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
         only_y = only_y + F.bit_count(y.bitwiseAND(F.bitwise_not(x)))
-    outside = F.least(F.col("x_size") - F.col("x_shared") - only_x, F.col("y_size") - F.col("y_shared") - only_y)
-    return (F.least("x_shared", "y_shared") + outside) * (ABOVE + BELOW) < (F.col("x_size") + F.col("y_size")) * ABOVE
+    outside = F.least(F.col("x_exact") - F.col("x_shared") - only_x, F.col("y_exact") - F.col("y_shared") - only_y)
+    return (F.least("x_shared", "y_shared") + outside) * (ABOVE + BELOW) < (F.col("x_exact") + F.col("y_exact")) * ABOVE
 
 
 def marks(hashes: np.ndarray) -> list[int]:

@@ -76,6 +76,19 @@ def test_line_dedup(spark):
     assert linededup.duplicate_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_edited_copies(spark):
+    rng, base = np.random.default_rng(9), "".join(chr(97 + i) for i in np.random.default_rng(8).integers(0, 26, 300))
+    lines = [base]
+    for _ in range(80):
+        line = list(base)
+        for at in rng.integers(0, 300, rng.integers(0, 4)):
+            line[at] = str(rng.integers(0, 10))
+        lines.append("".join(line))
+    rows = [*enumerate(lines), (500, base[::-1]), (501, base[:150] + base[::-1]), (502, base[:150] + base[::-1] + "z" * 90_000)]
+    got = {(r.doc_id, r.kept_doc) for r in linededup.duplicate_lines(docs(spark, rows)).collect()}
+    assert got == {(i, 0) for i in range(1, 81)} | {(502, 501)}
+
+
 def test_decontamination(spark):
     items = [("i1", "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15"), ("i2", "A-b"), ("i3", None), ("i4", ""), ("i2", "a b"), ("i5", "nowhere to be found")]
     bench = spark.createDataFrame(items, "item_id string, text string")
