@@ -67,6 +67,24 @@ def _possible(size_a: Column, size_b: Column, pos_a: Column | None, pos_b: Colum
     return fits & (most * (ABOVE + BELOW) >= (size_a + size_b) * ABOVE)
 
 
+def centred(lists: DataFrame) -> DataFrame:
+    """``lists`` (as for ``linked_groups``) less members alone in a list, each led by the member that meets most others in all its lists.
+
+    A group of near copies meets in many lists; one leader for nearly all of them is compared with each copy once, not once
+    per list. Lists longer than ``LIST_ROWS`` are dealt into parts.
+    """
+    whole = Window.partitionBy("key")
+    met = stage(
+        lists.select("*", F.count("*").over(whole).alias("n"), F.min("id").over(whole).alias("low"), F.max("id").over(whole).alias("high"))
+        .where("low <> high")
+        .drop("low", "high"),
+        "met",
+    )
+    weights = met.groupBy("id").agg(F.sum("n").cast("float").alias("weight"))
+    parts = F.ceil(F.col("n") / LIST_ROWS).cast("int")
+    return met.drop("weight").join(weights, "id").withColumn("salts", parts).select(*lists.columns)
+
+
 def linked_groups(
     lists: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], positional: bool, prepare: Callable[[DataFrame], None] | None = None
 ) -> DataFrame:
