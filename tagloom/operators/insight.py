@@ -66,11 +66,11 @@ def imbalance(distribution: DataFrame, ratio: float = IMBALANCE_RATIO) -> DataFr
         F.when(
             flagged,
             F.concat(
-                F.lit("Imbalance detected: '"),
-                "min_label",
-                F.lit("' is under-represented compared to '"),
+                F.lit("Uneven classes: far more labels of '"),
                 "max_label",
-                F.lit("'. Suggest: Targeted data collection or augmentation for rare classes."),
+                F.lit("' than of '"),
+                "min_label",
+                F.lit("'; gather or augment examples of the rarer ones."),
             ),
         ).alias("suggestion"),
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.answers import parse_answers
@@ -69,12 +69,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def _items(t: Tables) -> DataFrame:
-    # the two one-letter flags as a number: a minimum of strings would sort the table instead of hashing it
-    flags = F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus")
-    return (
-        t.lineitem.groupBy(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("k"))
-        .agg(F.min("l_partkey").alias("p"), F.min(flags).alias("flags"))
-        .selectExpr("image_id", "k", "p", "concat(chr(flags DIV 256), chr(flags % 256)) AS lab")
+    """Every row of lineitem: an order's items are numbered anew, as its line numbers repeat. Ties are equal rows here."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("image_id"),
+        F.row_number().over(order).cast("bigint").alias("k"),
+        F.col("l_partkey").alias("p"),
+        F.concat("l_returnflag", "l_linestatus").alias("lab"),
     )
 
 
@@ -151,7 +152,7 @@ def predicted_boxes(t: Tables) -> DataFrame:
 
 
 def draft_segments(t: Tables) -> DataFrame:
-    """Polygons of four points around the draft boxes of every other image: ..., segment."""
+    """Polygons of four points around the draft boxes: ..., segment."""
     corner = "named_struct('x', {}, 'y', {})"
     points = ", ".join(
         corner.format(*xy)
@@ -159,7 +160,6 @@ def draft_segments(t: Tables) -> DataFrame:
     )
     return (
         draft_boxes(t)
-        .filter("image_id % 2 = 1")
         .selectExpr(
             "image_id",
             "run",

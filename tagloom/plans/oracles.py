@@ -19,8 +19,9 @@ IMAGES = """SELECT o_orderkey AS image_id,
   CAST(240 + (o_orderkey * 53) % 481 AS INT) AS image_height
 FROM orders"""
 
-ITEMS = """SELECT l_orderkey AS image_id, l_linenumber AS k, min(l_partkey) AS p, min(concat(l_returnflag, l_linestatus)) AS lab
-FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+ITEMS = """SELECT l_orderkey AS image_id, l_partkey AS p, concat(l_returnflag, l_linestatus) AS lab,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS k
+FROM lineitem"""
 
 DRAFTS = f"""SELECT image_id, run, k AS item_ix, label, CAST(x AS DOUBLE) / 1000 AS xmin, CAST(y AS DOUBLE) / 1000 AS ymin,
   CAST(least(1000, x + w) AS DOUBLE) / 1000 AS xmax, CAST(least(1000, y + h) AS DOUBLE) / 1000 AS ymax,
@@ -387,8 +388,8 @@ WHERE image_id IN (SELECT image_id FROM ({DRAFTS}))""",
         f"""SELECT image_id, run, item_ix, label, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax
 FROM (SELECT image_id, run, item_ix, label,
     CASE pt WHEN 0 THEN xmin WHEN 3 THEN (xmin + xmax) / 2 ELSE xmax END AS x, CASE WHEN pt < 2 THEN ymin ELSE ymax END AS y
-  FROM ({DRAFTS}) CROSS JOIN range(4) pts(pt) WHERE image_id % 2 = 1) GROUP BY ALL""",
-        f"{_ORDERS} WHERE o_orderkey % 2 = 1",
+  FROM ({DRAFTS}) CROSS JOIN range(4) pts(pt)) GROUP BY ALL""",
+        _ORDERS,
     ),
     "consistency_classes": _jaccard(
         "SELECT user_id AS image_id, event_id % 3 AS run, concat(event_type, '_', CAST(event_id % 7 AS VARCHAR)) AS value FROM events",
@@ -406,12 +407,12 @@ FROM (SELECT image_id, run, item_ix, label,
 FROM embeddings CROSS JOIN range(5) kps(kp) WHERE (vec_id + kp) % 4 <> 0""",
         "(0, 1)",
     ),
-    "iou_pairs": f"""WITH d AS ({DRAFTS}), p AS (
-  SELECT a.image_id, a.label, a.item_ix AS left_ix, b.item_ix AS right_ix,
+    "iou_pairs": f"""WITH d AS MATERIALIZED ({DRAFTS}), p AS (
+  SELECT a.image_id, a.run AS run_i, b.run AS run_j, a.label, a.item_ix AS left_ix, b.item_ix AS right_ix,
     greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) AS inter,
     (a.xmax - a.xmin) * (a.ymax - a.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) AS areas
-  FROM d a JOIN d b ON a.image_id = b.image_id AND a.label = b.label WHERE a.run = 0 AND b.run = 1)
-SELECT image_id, label, left_ix, right_ix, round(inter / (areas - inter), 6) AS iou FROM p WHERE inter / (areas - inter) >= 0.5""",
+  FROM d a JOIN d b ON a.image_id = b.image_id AND a.label = b.label WHERE a.run < b.run)
+SELECT image_id, run_i, run_j, label, left_ix, right_ix, round(inter / (areas - inter), 6) AS iou FROM p WHERE inter / (areas - inter) >= 0.5""",
     "cascade_status": f"""{_scores(DRAFTS, _ORDERS)},
 per_image AS (SELECT image_id, avg(score) AS c FROM scored GROUP BY image_id),
 draft AS (SELECT image_id, avg(confidence) AS m FROM ({DRAFTS}) WHERE run = 0 GROUP BY image_id),
@@ -476,7 +477,7 @@ FROM (SELECT image_id, item_ix, {_pixel('xmin', 'image_width')} AS px1, {_pixel(
   FROM (SELECT * FROM ({DRAFTS}) WHERE run = 0) JOIN ({IMAGES}) USING (image_id))""",
     "center_boxes": f"""SELECT image_id, item_ix, round((xmin + xmax) / 2, 6) AS x_center, round((ymin + ymax) / 2, 6) AS y_center,
   round(xmax - xmin, 6) AS width, round(ymax - ymin, 6) AS height FROM ({DRAFTS}) WHERE run = 0""",
-    "segment_boxes": f"""SELECT image_id, run, item_ix, label, {_BOX6}, {_round('confidence')} FROM ({DRAFTS}) WHERE image_id % 2 = 1""",
+    "segment_boxes": f"""SELECT image_id, run, item_ix, label, {_BOX6}, {_round('confidence')} FROM ({DRAFTS})""",
     "class_ids": _DRAFT_CLASSES,
     "yolo_lines": f"""SELECT image_id, item_ix, class_id, {_YOLO} AS line
 FROM (SELECT * FROM ({DRAFTS}) WHERE run = 0) JOIN ({_DRAFT_CLASSES}) USING (label)""",
@@ -522,9 +523,8 @@ WHERE image_id IN (SELECT image_id FROM ({PREDICTED}))
   (SELECT label FROM d ORDER BY n DESC, first_seen LIMIT 1) AS max_label, (SELECT label FROM d ORDER BY n, first_seen LIMIT 1) AS min_label,
   max(n) AS max_n, min(n) AS min_n FROM d)
 SELECT *, round(max_n / min_n, 6) AS ratio, n_classes > 1 AND max_n / min_n > 3 AS imbalanced,
-  CASE WHEN n_classes > 1 AND max_n / min_n > 3 THEN concat('Imbalance detected: ''', min_label,
-    ''' is under-represented compared to ''', max_label,
-    '''. Suggest: Targeted data collection or augmentation for rare classes.') END AS suggestion FROM e""",
+  CASE WHEN n_classes > 1 AND max_n / min_n > 3 THEN concat('Uneven classes: far more labels of ''', max_label,
+    ''' than of ''', min_label, '''; gather or augment examples of the rarer ones.') END AS suggestion FROM e""",
     "class_report": f"""SELECT CAST(row_number() OVER (ORDER BY first_seen) AS INT) AS line_no,
   printf('- %s: %d (%.1f%%)', label, n, n / (sum(n) OVER ()) * 100) AS line FROM ({_DRAFT_FIRST})""",
     "inference_drafts": _CALLS,

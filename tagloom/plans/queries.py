@@ -70,7 +70,7 @@ def pair_scores(t: Tables) -> DataFrame:
 def consistency_segments(t: Tables) -> DataFrame:
     boxes = fixtures.draft_segments(t).select("image_id", "run", "item_ix", segment_to_box(F.col("segment")).alias("b"))
     boxes = boxes.select("image_id", "run", "item_ix", "b.*")
-    images = t.orders.selectExpr("o_orderkey AS image_id").filter("image_id % 2 = 1")
+    images = t.orders.selectExpr("o_orderkey AS image_id")
     return _consistency(images, consistency.pair_scores(RUNS, segments=boxes), RUNS)
 
 
@@ -100,10 +100,13 @@ def consistency_keypoints(t: Tables) -> DataFrame:
 
 @query
 def iou_pairs(t: Tables) -> DataFrame:
-    drafts = fixtures.draft_boxes(t)
-    left, right = (drafts.filter(f"run = {r}").drop("run", "confidence") for r in (0, 1))
-    return matching.candidate_pairs(left, right, ["image_id", "label"]).select(
+    drafts, last = fixtures.draft_boxes(t).drop("confidence"), RUNS[-1]
+    left = drafts.filter(f"run < {last}").withColumnRenamed("run", "run_i").withColumn("run_j", F.expr(f"explode(sequence(run_i + 1, {last}))"))
+    right = drafts.filter("run > 0").withColumnRenamed("run", "run_j").withColumn("run_i", F.expr("explode(sequence(0, run_j - 1))"))
+    return matching.candidate_pairs(left, right, ["image_id", "run_i", "run_j", "label"]).select(
         "image_id",
+        "run_i",
+        "run_j",
         "label",
         F.col("left_item_ix").alias("left_ix"),
         F.col("right_item_ix").alias("right_ix"),

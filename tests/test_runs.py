@@ -190,6 +190,40 @@ def test_content_in_the_requests_or_read_by_the_worker(spark, folder):
     assert row.image_id == 0 and row.error.startswith("unreadable image")
 
 
+def test_unreadable_images_are_errors(spark, tmp_path):
+    (tmp_path / "here.png").write_bytes(png(4, 4))
+    rows = [(n, f"{name}.png", f"{tmp_path}/{name}.png", 4, 4) for n, name in enumerate(["here", "gone"])]
+    images = spark.createDataFrame(rows, "image_id long, image_name string, image_path string, image_width int, image_height int")
+    options = labeling.Options(backoff_seconds=0.0, read_content=True)
+    run = labeling.label_images(images, labeling.Tier("low", strong_factory), labeling.Tier("high", strong_factory), options)
+    assert [r.image_name for r in run.final.collect()] == ["here.png"]
+    ((name, error),) = [(r.image_name, r.error) for r in run.errors.collect()]
+    assert name == "gone.png" and error.startswith("unreadable image")
+    assert {r.attempts for r in run.responses.filter("image_id = 1").collect()} == {0}
+
+
+def test_a_second_run_on_a_store_asks_only_the_rest(spark, tmp_path):
+    def requests(n):
+        return spark.range(n).select(F.col("id").alias("image_id"), F.lit("low").alias("tier"), F.lit(0).alias("run"))
+
+    def factory():
+        return lambda batch: ["{}" if i or a == 3 else TimeoutError("late") for i, a in zip(batch["image_id"], batch["attempt"])]
+
+    def later_factory():
+        def predict(batch):
+            assert set(batch["image_id"]) <= {5, 6}
+            return ["{}"] * len(batch)
+
+        return predict
+
+    store = str(tmp_path / "answers")
+    first = {r.image_id: r for r in inference.infer(requests(5), factory, backoff_seconds=0.1, store=store).collect()}
+    assert first[0].attempts == 3 and first[0].elapsed_sec >= 0.3 and first[1].attempts == 1
+    rows = inference.infer(requests(7), later_factory, backoff_seconds=0.0, store=store).collect()
+    assert sorted((r.image_id, r.attempts, r.ok) for r in rows) == [(0, 3, True)] + [(i, 1, True) for i in range(1, 7)]
+    assert inference.read_answers(spark, store).count() == 7
+
+
 def test_argument_rules():
     assert label_formats("all") == ["yolo", "pascal_voc", "coco", "vision_json"]
     assert label_formats(" COCO, yolo,coco,") == ["coco", "yolo"]
