@@ -23,7 +23,7 @@ ABOVE, BELOW = 4, 5
 #: Rows of a key that go to one task; expected longer lists are salted
 LIST_ROWS = 20_000
 
-PAIRS = "a long, b long, n_a int, n_b int, shared int, outside array<long>"
+PAIRS = "a long, b long, n_a int, n_b int, shared int, marks array<long>"
 #: Bits of the marks of a set: any power of two from 64 gives the same groups
 MARKS = 1024
 
@@ -68,10 +68,10 @@ def _possible(size_a: Column, size_b: Column, pos_a: Column | None, pos_b: Colum
 
 
 def centred(lists: DataFrame) -> DataFrame:
-    """``lists`` (as for ``linked_groups``) less members alone in a list, each led by the member that meets most others in all its lists.
+    """Rows (key, id) as ``linked_groups`` takes them, less members alone in a list, each led by the member that meets most others in all its lists.
 
     A group of near copies meets in many lists; one leader for nearly all of them is compared with each copy once, not once
-    per list. Lists longer than ``LIST_ROWS`` are dealt into parts.
+    per list. Lists longer than ``LIST_ROWS`` are dealt into parts. Sizes are left at 0, as repeated elements aren't told apart yet.
     """
     whole = Window.partitionBy("key")
     met = stage(
@@ -81,20 +81,24 @@ def centred(lists: DataFrame) -> DataFrame:
         "met",
     )
     weights = met.groupBy("id").agg(F.sum("n").cast("float").alias("weight"))
-    parts = F.ceil(F.col("n") / LIST_ROWS).cast("int")
-    return met.drop("weight").join(weights, "id").withColumn("salts", parts).select(*lists.columns)
+    parts = F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("salts")
+    return met.join(weights, "id").select("key", parts, "id", F.lit(0).alias("size"), F.lit(0).alias("pos"), "weight")
 
 
 def linked_groups(
-    lists: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], positional: bool, prepare: Callable[[DataFrame], None] | None = None
+    lists: DataFrame,
+    verify: Callable[[DataFrame, bool], DataFrame],
+    positional: bool,
+    prepare: Callable[[DataFrame], None] | None = None,
+    both_ways: bool = False,
 ) -> DataFrame:
     """Components (id, component) of the links among members of each list.
 
     ``lists``: key long, salts int (into how many parts the key's list is dealt), id long, size int (of its set, or 0 where
     that isn't known yet: such lists have no length filter), pos int (place of the key in the id's sorted set, or 0), weight float (the member with the most leads its list). ``verify`` takes
     distinct pairs (a, b, n_a, n_b), a <> b, and whether all are needed in full, and returns rows of ``PAIRS``: sizes of
-    the sets, their ``shared`` count and the ``outside`` marks of what b has and a lacks. A pair that is not needed in
-    full may have an upper bound as ``shared`` where that rules a link out. ``prepare`` is told all ids that share a list.
+    the sets, their ``shared`` count and the ``marks`` of what b has and a lacks, followed by those of what a has and b lacks
+    if ``both_ways``. A pair that is not needed in full may have an upper bound as ``shared`` where that rules a link out. ``prepare`` is told all ids that share a list.
     """
     places = ("pos", "lead.pos") if positional else (None, None)
     part = Window.partitionBy("key", "salt")
@@ -122,7 +126,7 @@ def linked_groups(
     links = near.where(_is_link())
     groups = components(links.select("a", "b"))
 
-    known = near.select(F.col("a").alias("lead_id"), F.col("b").alias("id"), F.col("n_b").alias("exact"), "shared", "outside")
+    known = near.select(F.col("a").alias("lead_id"), F.col("b").alias("id"), F.col("n_b").alias("exact"), "shared", "marks")
     member_rows = (
         shared.select("key", "id", "size", "pos", F.col("lead.id").alias("lead_id"))
         .join(groups, "id", "left")
@@ -140,7 +144,9 @@ def linked_groups(
         & (F.col("x_component") != F.col("y_component"))
         & ((F.col("y_component") == F.col("y_low")) | (F.col("x_id") < F.col("y_id")))
         & _possible(F.col("x_size"), F.col("y_size"), *place)
-        & ~F.coalesce((F.col("x_lead_id") == F.col("y_lead_id")) & _apart(), F.lit(False)),
+        & (F.col("x_id") != F.col("y_lead_id"))  # a leader is compared with its list already
+        & (F.col("y_id") != F.col("x_lead_id"))
+        & ~F.coalesce((F.col("x_lead_id") == F.col("y_lead_id")) & _apart(both_ways), F.lit(False)),
     ).select(
         F.least("x_id", "y_id").alias("a"),
         F.greatest("x_id", "y_id").alias("b"),
@@ -154,29 +160,41 @@ def linked_groups(
     return components(links.select("a", "b").union(late))
 
 
-def _apart() -> Column:
-    """Two members can't be a link if what both have of their leader, and what their marks outside it leave, is too little.
-
-    Every mark only one of them has is at least one element that isn't shared.
-    """
+def _only(first: int) -> tuple[Column, Column]:
+    """Marks that x has and y lacks, and the reverse, among those from place ``first`` on."""
     only_x, only_y = F.lit(0), F.lit(0)
-    for i in range(MARKS // 64):
-        x, y = F.get("x_outside", F.lit(i)), F.get("y_outside", F.lit(i))
+    for i in range(first, first + MARKS // 64):
+        x, y = F.get("x_marks", F.lit(i)), F.get("y_marks", F.lit(i))
         only_x = only_x + F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
         only_y = only_y + F.bit_count(y.bitwiseAND(F.bitwise_not(x)))
+    return only_x, only_y
+
+
+def _apart(both_ways: bool) -> Column:
+    """Two members can't be a link if what both have of their leader, and what their marks outside it leave, is too little.
+
+    Every mark only one of them has is at least one element that isn't shared; so is every mark of the leader's elements
+    that only one of them lacks.
+    """
+    only_x, only_y = _only(0)
+    lost_x, lost_y = _only(MARKS // 64) if both_ways else (F.lit(0), F.lit(0))
+    inside = F.least(F.col("x_shared") - lost_y, F.col("y_shared") - lost_x)
     outside = F.least(F.col("x_exact") - F.col("x_shared") - only_x, F.col("y_exact") - F.col("y_shared") - only_y)
-    return (F.least("x_shared", "y_shared") + outside) * (ABOVE + BELOW) < (F.col("x_exact") + F.col("y_exact")) * ABOVE
+    return (inside + outside) * (ABOVE + BELOW) < (F.col("x_exact") + F.col("y_exact")) * ABOVE
 
 
 def marks(hashes: np.ndarray) -> list[int]:
     """A bit for each of ``MARKS`` hash ranges in which a set has an element, as signed longs."""
-    return marks_of_rows(hashes, np.zeros(len(hashes), dtype=np.int64), 1)[0].as_py()
+    bits = np.zeros(MARKS, dtype=np.uint8)
+    bits[(hashes & np.uint64(MARKS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
 
 
-def marks_of_rows(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> pa.Array:
-    """``marks`` of the set of each row."""
-    bits = np.zeros((n_rows, MARKS), dtype=np.uint8)
-    bits[rows, (hashes & np.uint64(MARKS - 1)).astype(np.int64)] = 1
+def marks_both_ways(outside: np.ndarray, outside_rows: np.ndarray, lost: np.ndarray, lost_rows: np.ndarray, n_rows: int) -> pa.Array:
+    """``marks`` of what each row has beside its leader, followed by those of what it lacks of its leader."""
+    bits = np.zeros((n_rows, 2 * MARKS), dtype=np.uint8)
+    bits[outside_rows, (outside & np.uint64(MARKS - 1)).astype(np.int64)] = 1
+    bits[lost_rows, (lost & np.uint64(MARKS - 1)).astype(np.int64) + MARKS] = 1
     longs = np.packbits(bits, axis=1).view(np.int64)
     return pa.ListArray.from_arrays(np.arange(n_rows + 1, dtype=np.int32) * longs.shape[1], longs.reshape(-1))
 

@@ -166,7 +166,7 @@ def _intersections(full: bool):
                 outside.append(linking.marks(right[0][~common]) if full else None)
             out = pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(x, pa.int32()) for x in (n_a, n_b, shared)), pa.array(outside, pa.list_(pa.int64()))],
-                ["a", "b", "n_a", "n_b", "shared", "outside"],
+                ["a", "b", "n_a", "n_b", "shared", "marks"],
             )
             yield out.filter(pa.array(good, pa.bool_()))
 

@@ -5,9 +5,10 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tagloom.llm import decontam, html, langid, linededup, mixing, ngramjoin, resample, textvec, tokens, topk, toxicity
+from tagloom.llm import decontam, html, langid, linededup, linking, mixing, ngramjoin, resample, textvec, tokens, topk, toxicity
 
 LONG = " ".join(f"w{i}" for i in range(400))
 NEAR = LONG.replace("w200 ", "other ")
@@ -202,3 +203,32 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids and ids <= {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+
+
+def test_line_pairs_equal_plain_sets():
+    """Sizes, intersections and marks of short, middling and long lines, several pairs of one leader together."""
+    draw = np.random.default_rng(5)
+    pairs = []
+    for leader, length in enumerate((3, 60, 60, 3000)):
+        line = "".join(draw.choice(list("abcdefgh é"), length))
+        for member in range(20):
+            other = list(line)
+            for _ in range(draw.integers(0, 8)):
+                other[draw.integers(len(other))] = "z"
+            pairs.append((leader, 100 * leader + member, line, "".join(other)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs, strict=True)], ["a", "b", "line_a", "line_b"])
+    got = pa.Table.from_batches(list(linededup._intersections(iter([batch])))).to_pylist()
+
+    def shingles(line):
+        return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+
+    def hashes(line):
+        return {int(v) >> 12 for v in linededup._shingles([memoryview(line.encode())])[0]}
+
+    def marked(values):
+        return linking.marks(np.array(sorted(values), dtype=np.uint64))
+
+    for (a, b, x, y), row in zip(pairs, got, strict=True):
+        both = len(shingles(x) & shingles(y))
+        assert (row["a"], row["b"], row["n_a"], row["n_b"], row["shared"]) == (a, b, len(shingles(x)), len(shingles(y)), both)
+        assert row["marks"] == marked(hashes(y) - hashes(x)) + marked(hashes(x) - hashes(y))
