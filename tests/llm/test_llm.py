@@ -232,3 +232,12 @@ def test_line_pairs_equal_plain_sets():
         both = len(shingles(x) & shingles(y))
         assert (row["a"], row["b"], row["n_a"], row["n_b"], row["shared"]) == (a, b, len(shingles(x)), len(shingles(y)), both)
         assert row["marks"] == marked(hashes(y) - hashes(x)) + marked(hashes(x) - hashes(y))
+
+
+def test_bands_meet_pairs_at_the_threshold():
+    """Of pairs of sets with similarity 0.8, at most 0.5 % agree in no band."""
+    rng, n = np.random.default_rng(41), 4000
+    both, only = rng.integers(0, 2**64, (n, 80), dtype=np.uint64), rng.integers(0, 2**64, (2, n, 10), dtype=np.uint64)
+    bounds = np.arange(n + 1) * 90
+    a, b = (linededup._bands(np.hstack([both, side]).reshape(-1), bounds) for side in only)
+    assert int((a == b).any(axis=1).sum()) >= n * 0.995
