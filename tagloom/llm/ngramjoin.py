@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm import linking, textvec
@@ -53,7 +53,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in textvec.pieces(batches, "text"):
         hashes, bounds = _sets(texts)
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(np.diff(bounds)), pa.array(_signatures(hashes, bounds))], ["doc_id", "n_shingles", "signature"]
+            [rows.column(0), rows.column(2), pa.array(np.diff(bounds)), pa.array(_signatures(hashes, bounds))],
+            ["doc_id", "text_hash", "n_shingles", "signature"],
         )
 
 
@@ -189,8 +190,30 @@ def _is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id."""
+    return _grouped(documents).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """``documents`` less all rows but one of every component: a row of its least doc_id, or of no doc_id if none has one.
+
+    Rows of an empty set are linked with nothing: one of each (doc_id, text) stays, and all without doc_id.
+    """
+    grouped = stage(_grouped(documents), "grouped")
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    first = grouped.where("n_shingles > 0").groupBy("component").agg(F.min(row).alias("row")).select("row.doc_id", "row.text_hash", F.lit(False).alias("_empty"))
+    empty = grouped.where("n_shingles = 0").select("doc_id", "text_hash", F.lit(True).alias("_empty")).distinct()
+    kept = first.union(empty).toDF("_kept", "_hash", "_empty")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_hash"))
+    copies = Window.partitionBy("_kept", "_hash").orderBy("_kept")
+    rows = documents.join(kept, same).withColumn("_copy", F.row_number().over(copies))
+    return rows.where("_copy = 1 or _empty and doc_id is null").select(documents.columns)
+
+
+def _grouped(documents: DataFrame) -> DataFrame:
+    """Per row of ``documents``: doc_id, text_hash, n_shingles, component (null for an empty set), component_id."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = stage(docs.mapInArrow(_describe, "doc_id long, n_shingles long, signature long"), "sets")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    described = stage(hashed.mapInArrow(_describe, "doc_id long, text_hash long, n_shingles long, signature long"), "sets")
     classes = described.where("n_shingles > 0").groupBy("signature").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
 
     table = docs.sparkSession.sparkContext.broadcast(slot_counts(docs).tobytes())
@@ -208,7 +231,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         "signature", "first_doc", F.coalesce("component", "signature").alias("component")
     )
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    answer = named.join(least, "component").select("signature", "component_id")
+    answer = named.join(least, "component").select("signature", "component", "component_id")
     return described.join(answer, "signature", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_hash", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

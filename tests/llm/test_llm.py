@@ -241,3 +241,21 @@ def test_bands_meet_pairs_at_the_threshold():
     bounds = np.arange(n + 1) * 90
     a, b = (linededup._bands(np.hstack([both, side]).reshape(-1), bounds) for side in only)
     assert int((a == b).any(axis=1).sum()) >= n * 0.995
+
+
+def test_documents_that_share_an_id_or_have_none_are_their_own(spark):
+    """Lines go from the documents that repeat them only, and of copies without id one row stays."""
+    import corpus_pipeline
+
+    again = "a line that a document without id repeats word for word"
+    a, b = f"first of a\n{again}", "quite another text\nits second line is found nowhere else"
+    c, d = f"one more text\n{again}", "of the same id but not\nthe same second line as the other"
+    rows = docs(spark, [(1, again), (None, a), (None, a), (None, b), (7, c), (7, d), (None, ""), (None, "")])
+    left = corpus_pipeline.drop_repeated_lines(spark, rows, "")
+    got = sorted((r.doc_id or 0, r.text) for r in left.collect())
+    assert got == [(0, ""), (0, ""), (0, "first of a"), (0, "first of a"), (0, b), (1, again), (7, "of the same id but not\nthe same second line as the other"), (7, "one more text")]
+    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, left, "").collect())
+    assert kept == [(0, ""), (0, ""), (0, "first of a"), (0, b), (1, again), (7, d), (7, "one more text")]
+    near = docs(spark, [(3, LONG), (None, LONG.upper()), (None, "a text of its own"), (5, NEAR)])
+    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, near, "").collect())
+    assert kept == [(0, "a text of its own"), (3, LONG)]
