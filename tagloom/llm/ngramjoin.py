@@ -4,9 +4,9 @@ A document's set is its distinct runs of five words. Sets are sorted rare-first:
 fixed-size count table is hit over all documents, then by hash. Two sets with Jaccard >= 0.8 share one of the first
 n - ceil(0.8 n) + 1 runs of each, so only those are shuffled. Equal sets are one class before that.
 
-Null or empty text, or text without words: an empty set, linked with nothing, component its own doc_id. A row
-without doc_id stays and is linked only with texts of the same set; its component is their least doc_id, or null.
-Repeated rows are members of one class. Extra columns don't matter.
+Null or empty text, or text without words: an empty set, linked with nothing, component its own doc_id. Pairs
+are verified on one text of each class, so rows without doc_id are linked like all others; a component's id is its least
+doc_id, or null if it has none. Repeated rows are members of one class. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -58,6 +58,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = textvec.Seen()
+    for batch in batches:
+        yield batch.filter(pa.array(seen.fresh(batch.column(0).to_pylist()), pa.bool_()))
+
+
 def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, seen = np.zeros(SLOTS, dtype=np.uint32), textvec.Seen()
     for _, texts in textvec.pieces(batches, "text"):
@@ -148,13 +154,12 @@ def _intersections(full: bool):
         for batch in batches:
             names = batch.schema.names
             side = {s: textvec.strings(batch.column(names.index(f"text_{s}"))) for s in "ab"}
-            a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            shared, outside, n_a, n_b, good = [], [], [], [], []
+            a_ids = batch.column(0).to_pylist()
+            shared, outside, n_a, n_b = [], [], [], []
             for i in range(batch.num_rows):
                 if kept_key != a_ids[i]:
                     kept_key, kept = a_ids[i], _set_of(*side["a"], i)
                 left, right = kept, _set_of(*side["b"], i)
-                good.append(left[2] == a_ids[i] and right[2] == b_ids[i])
                 n_a.append(len(left[0]))
                 n_b.append(len(right[0]))
                 bound = int(np.minimum(left[1], right[1]).sum())
@@ -165,19 +170,18 @@ def _intersections(full: bool):
                 common = _is_in(right[0], left[0])
                 shared.append(int(common.sum()))
                 outside.append(linking.marks(right[0][~common]) if full else None)
-            out = pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(x, pa.int32()) for x in (n_a, n_b, shared)), pa.array(outside, pa.list_(pa.int64()))],
                 ["a", "b", "n_a", "n_b", "shared", "marks"],
             )
-            yield out.filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _set_of(data: memoryview, offsets: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray, int]:
-    hashes, bounds = _sets([data[offsets[i] : offsets[i + 1]]])
+def _set_of(data: memoryview, offsets: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    hashes, _ = _sets([data[offsets[i] : offsets[i + 1]]])
     parts = np.bincount((hashes >> np.uint64(60)).astype(np.int64), minlength=_SUFFIX_PARTS)
-    return hashes, parts, int(_signatures(hashes, bounds)[0])
+    return hashes, parts
 
 
 def _is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -214,19 +218,23 @@ def _grouped(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     described = stage(hashed.mapInArrow(_describe, "doc_id long, text_hash long, n_shingles long, signature long"), "sets")
-    classes = described.where("n_shingles > 0").groupBy("signature").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
+    classes = described.where("n_shingles > 0").groupBy("signature").agg(F.min("doc_id").alias("first_doc"), F.min("text_hash").alias("text_hash"))
 
     table = docs.sparkSession.sparkContext.broadcast(slot_counts(docs).tobytes())
     lists = docs.select("text").mapInArrow(_prefixes(table), "key long, salts int, id long, size int, pos int, weight float")
 
+    texts: list[DataFrame] = []
+
+    def fetch(ids: DataFrame) -> None:
+        once = hashed.select("text_hash", "text").mapInArrow(_once, "text_hash long, text string")
+        wanted = classes.select(F.col("signature").alias("id"), "text_hash").join(ids, "id", "left_semi")
+        texts.append(stage(once.join(wanted, "text_hash").groupBy("id").agg(F.first("text").alias("text")), "texts"))
+
     def verify(pairs: DataFrame, full: bool) -> DataFrame:
-        first = classes.select("signature", "first_doc")
-        named = pairs.join(first.toDF("a", "doc_a"), "a").join(first.toDF("b", "doc_b"), "b")
-        both = named.join(docs.toDF("doc_b", "text_b"), "doc_b").join(docs.toDF("doc_a", "text_a"), "doc_a")
-        found = both.select("a", "b", "text_a", "text_b").mapInArrow(_intersections(full), linking.PAIRS)
-        return found.distinct()
+        both = pairs.join(texts[0].toDF("b", "text_b"), "b").join(texts[0].toDF("a", "text_a"), "a")
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(_intersections(full), linking.PAIRS)
 
-    groups = linking.linked_groups(lists, verify, positional=True)
+    groups = linking.linked_groups(lists, verify, positional=True, prepare=fetch)
     named = classes.join(groups, classes.signature == groups.id, "left").select(
         "signature", "first_doc", F.coalesce("component", "signature").alias("component")
     )

@@ -259,3 +259,17 @@ def test_documents_that_share_an_id_or_have_none_are_their_own(spark):
     near = docs(spark, [(3, LONG), (None, LONG.upper()), (None, "a text of its own"), (5, NEAR)])
     kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, near, "").collect())
     assert kept == [(0, "a text of its own"), (3, LONG)]
+
+
+def test_ngram_join_links_repeated_and_missing_ids(spark):
+    """Texts under one id, and rows without id, are verified like all others; a chain runs through a row without id."""
+    words = LONG.split()
+    chain = [" ".join(words), " ".join(f"x{i}" if i % 40 == 20 and i < 320 else w for i, w in enumerate(words))]
+    chain.append(" ".join(f"y{i}" if i % 40 == 5 and i < 320 else w for i, w in enumerate(chain[1].split())))
+    assert components([grams(t) for t in (chain[0], chain[2])]) == [0, 1] and components([grams(t) for t in chain]) == [0, 0, 0]
+    for texts in (chain, chain[::-1]):
+        got = {(r[0], r[2]) for r in ngramjoin.jaccard_components(docs(spark, [(10, texts[0]), (None, texts[1]), (12, texts[2])])).collect()}
+        assert got == {(10, 10), (None, 10), (12, 10)}
+    rows = [(3, LONG), (3, NEAR), (5, NEAR), (3, "of its own")]
+    got = sorted({(r.text_hash, r.component) for r in ngramjoin._grouped(docs(spark, rows)).where("n_shingles > 1").collect()})
+    assert len(got) == 2 and got[0][1] == got[1][1]
