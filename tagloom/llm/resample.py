@@ -1,8 +1,7 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and a Gumbel top-k sample.
 
-Words and word pairs are hashed to ``SIZE`` places. The raw model counts all documents; the target model counts documents
-labelled good, at most about ``SAMPLE`` of them (chosen by a hash of the id). A document's log weight is the mean
-log ratio target / raw of its n-grams, times ``TEMPER`` n-grams, so that length alone neither favours nor harms it. With
+Words and word pairs are hashed to ``SIZE`` places. The raw model counts all documents; the target model counts all documents
+labelled good. A document's log weight is the mean log ratio target / raw of its n-grams, times ``TEMPER`` n-grams, so that length alone neither favours nor harms it. With
 Gumbel noise from a hash of its id added, the k highest keys are a sample without replacement in proportion to the
 weights; k is the share of good labels times the number of documents. The k-th key is found by counting, not sorting.
 
@@ -23,7 +22,6 @@ from tagloom.llm import textvec
 from tagloom.plans.stages import stage
 
 SIZE = 1 << 14
-SAMPLE = 20_000
 TEMPER = 30.0
 LOWEST = -1000.0
 _STEP = 1 << 20
@@ -53,9 +51,8 @@ def log_ratios(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, flo
     total, good = known.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not good or good == total:
         return np.zeros(SIZE), 1.0
-    rate = min(1.0, SAMPLE / good)
-    sample = known.where((F.col("good") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30) < rate)).select("doc_id", F.lit(True).alias("good"))
-    marked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left")
+    chosen = known.where("good = 1").select("doc_id", F.lit(True).alias("good"))
+    marked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id", "left")
     counted = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_tally, "place int, raw long, target long")
     raw, target = np.zeros(SIZE), np.zeros(SIZE)
     for place, r, t in counted.groupBy("place").agg(F.sum("raw"), F.sum("target")).collect():

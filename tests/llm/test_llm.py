@@ -273,3 +273,17 @@ def test_ngram_join_links_repeated_and_missing_ids(spark):
     rows = [(3, LONG), (3, NEAR), (5, NEAR), (3, "of its own")]
     got = sorted({(r.text_hash, r.component) for r in ngramjoin._grouped(docs(spark, rows)).where("n_shingles > 1").collect()})
     assert len(got) == 2 and got[0][1] == got[1][1]
+
+
+def test_resampling_counts_all_good_documents(spark):
+    frame = spark.range(50_000).selectExpr("id as doc_id", "if(id % 5 = 0, 'bad', concat('w', id % 7)) as text")
+    labels = frame.selectExpr("doc_id", "int(text <> 'bad') as quality")
+    ratios, share = resample.log_ratios(frame, labels)
+    raw = np.zeros(resample.SIZE)
+    place = {t: int(resample._grams([memoryview(t.encode())])[0][0]) for t in ["bad", *(f"w{i}" for i in range(7))]}
+    for r in frame.groupBy("text").count().collect():
+        raw[place[r["text"]]] += r["count"]
+    target = raw.copy()
+    target[place["bad"]] = 0
+    prior = (raw + 1) / (raw.sum() + resample.SIZE)
+    assert share == 0.8 and np.allclose(ratios, np.log((target + prior * 1000) / (target.sum() + 1000) / prior))
