@@ -119,7 +119,7 @@ def _fit(idf: np.ndarray):
 def fit(training: DataFrame) -> dict:
     """Centroids of the languages of ``training`` (text, lang): parameters of a size fixed by the number of languages."""
     training = training.where("text is not null and lang is not null").select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in training.select("lang", F.xxhash64("text")).distinct().groupBy("lang").count().collect()}
     if not counts:
         return {"langs": [], "idf": np.zeros(SIZE, dtype=np.float32), "centroids": np.zeros((0, SIZE), dtype=np.float32), "cutoffs": np.zeros(0)}
     tallied = training.select("text").mapInArrow(_frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))

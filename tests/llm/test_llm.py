@@ -287,3 +287,9 @@ def test_resampling_counts_all_good_documents(spark):
     target[place["bad"]] = 0
     prior = (raw + 1) / (raw.sum() + resample.SIZE)
     assert share == 0.8 and np.allclose(ratios, np.log((target + prior * 1000) / (target.sum() + 1000) / prior))
+
+
+def test_language_of_few_texts_in_many_copies_is_learned(spark):
+    frame = spark.range(60_000).selectExpr("if(id % 3 = 0, 'und der sch', 'ung ein die') as text", "'de' as lang")
+    english = spark.createDataFrame([(f"the ing and of {i}", "en") for i in range(20)], "text string, lang string")
+    assert set(langid.fit(frame.union(english))["langs"]) == {"de", "en"}
