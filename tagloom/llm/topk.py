@@ -6,8 +6,9 @@ list from the end that its own sign favours, all lists to the same depth. What i
 candidate outside the best ``k`` lower bounds, or outside what earlier shards hold already, has an upper bound as high;
 only then are the scores of those left resolved, exactly, in 64-bit integers. Queries come in blocks of bounded size.
 
-Components are floor(scale * x) as integers. Vectors that are null, hold a null or a value that isn't finite, or exceed
-``LARGEST`` after scaling (their scores wouldn't fit), and rows without vec_id, take no part; vectors are compared with
+Components are floor(scale * x) as integers. Vectors that are null, hold a null or a value that isn't finite,
+and rows without vec_id, take no part. A component that doesn't fit 64 bits after scaling fails the query, and so does a
+score of a candidate that is resolved; scores that might not fit are summed in Python's integers. Vectors are compared with
 queries of as many components. Rows with a query's vec_id are its own. A repeated query row gives its rows again. Ties
 go to the smaller vec_id; a query with fewer candidates than k gets all of them.
 """
@@ -26,7 +27,7 @@ QUERY_BLOCK = 4096
 _TOGETHER = 256
 #: Shares of a list after which the bounds are looked at
 DEPTHS = (0.25, 0.5, 0.75, 1.0)
-LARGEST = 2**27
+LONG = 2**63
 
 
 class Lists:
@@ -68,7 +69,7 @@ class Best:
 
 def search(lists: Lists, ids: np.ndarray, queries: np.ndarray, best: Best) -> None:
     m, k = len(lists.ids), best.k
-    largest = float(np.abs(queries).sum(axis=1).max(initial=0)) * float(np.abs(lists.vectors).max(initial=0))
+    largest = float(np.abs(queries.astype(np.float64)).sum(axis=1).max(initial=0)) * float(np.abs(lists.vectors.astype(np.float64)).max(initial=0))
     kind = np.float32 if largest < 2**24 else np.float64
     slack = largest * 1e-12 if largest >= 2**53 else 0.0  # float64 is exact below
     known = {}
@@ -91,22 +92,38 @@ def search(lists: Lists, ids: np.ndarray, queries: np.ndarray, best: Best) -> No
         query, candidate = np.nonzero(open_)
         scores = np.concatenate(
             [np.empty(0, dtype=np.int64)]
-            + [(queries[at + query[i : i + 100_000]] * lists.vectors[candidate[i : i + 100_000]]).sum(axis=1) for i in range(0, len(query), 100_000)]
+            + [_scores(queries[at + query[i : i + 100_000]], lists.vectors[candidate[i : i + 100_000]], largest) for i in range(0, len(query), 100_000)]
         )
         best.add(query + at, lists.ids[candidate], scores)
 
 
+def _scores(queries: np.ndarray, vectors: np.ndarray, largest: float) -> np.ndarray:
+    """Exact inner products of rows; fails if one doesn't fit 64 bits."""
+    if largest < LONG / 2:
+        return (queries * vectors).sum(axis=1)
+    exact = [sum(int(x) * int(y) for x, y in zip(q, v, strict=True)) for q, v in zip(queries, vectors, strict=True)]
+    if any(abs(x) >= LONG for x in exact):
+        raise OverflowError("a score doesn't fit 64 bits: scale the vectors down")
+    return np.array(exact, dtype=np.int64)
+
+
 def _integers(embedding: str, scale: int) -> Column:
-    return F.transform(embedding, lambda x: F.floor(x.cast("double") * scale))
+    fail = F.raise_error(F.lit("a component doesn't fit 64 bits: scale the vectors down")).cast("long")
+
+    def integer(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) < float(LONG), F.floor(scaled)).otherwise(fail)
+
+    return F.transform(embedding, integer)
 
 
-def _usable(column: str, largest: float) -> Column:
-    return F.col(column).isNotNull() & ~F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > largest))
+def _usable(column: str) -> Column:
+    return F.col(column).isNotNull() & ~F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """For each row of ``vectors`` (vec_id, embedding) with ``is_query``: query_id, rank from 1, vec_id, score."""
-    usable = vectors.where(F.col("vec_id").isNotNull() & _usable("embedding", LARGEST / scale))
+    usable = vectors.where(F.col("vec_id").isNotNull() & _usable("embedding"))
     usable = usable.select(F.col("vec_id").cast("long").alias("vec_id"), _integers("embedding", scale).alias("vector"))
     asked = usable.where(is_query)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))

@@ -293,3 +293,14 @@ def test_language_of_few_texts_in_many_copies_is_learned(spark):
     frame = spark.range(60_000).selectExpr("if(id % 3 = 0, 'und der sch', 'ung ein die') as text", "'de' as lang")
     english = spark.createDataFrame([(f"the ing and of {i}", "en") for i in range(20)], "text string, lang string")
     assert set(langid.fit(frame.union(english))["langs"]) == {"de", "en"}
+
+
+def test_top_k_of_large_vectors(spark):
+    rows = [(0, [3.0, 1.0]), (1, [2.0**50, 1.0]), (2, [2.0**50, -1.0]), (3, [-(2.0**45), 0.0]), (4, [1.0, 1.0]), (5, [float("inf"), 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(frame, frame.vec_id == 4, scale=1).orderBy("rank").collect()]
+    assert got == [(1, 2**50 + 1), (2, 2**50 - 1), (0, 4), (3, -(2**45))]
+    for wide in (2.0**40, 2.0**70):  # its score with itself scaled, and its component, don't fit
+        large = spark.createDataFrame([(1, [wide]), (2, [wide])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="doesn't fit 64 bits"):
+            topk.top_k(large, large.vec_id == 1).collect()
