@@ -86,7 +86,45 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id
 """
 
+FILTER_AUDIT = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM t
+), f AS (
+  SELECT doc_id, part, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+    'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+    'E': coalesce(doc_id > least, false)} AS f
+  FROM w
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, f
+), o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)
+), s AS (SELECT o, step, o[step] AS x, o[1:step - 1] AS earlier FROM (SELECT o FROM o WHERE len(o) = 5), range(1, 6) r(step)
+), fails AS (
+  SELECT part, n, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: struct_extract(f, 'A') AND x = 'A' OR struct_extract(f, 'B') AND x = 'B'
+    OR struct_extract(f, 'C') AND x = 'C' OR struct_extract(f, 'D') AND x = 'D' OR struct_extract(f, 'E') AND x = 'E') AS names
+  FROM c
+), counts AS (
+  SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, x,
+    sum(n) FILTER (NOT list_has_any(names, string_split(earlier || x, ''))) AS kept,
+    sum(n) FILTER (list_contains(names, x) AND NOT list_has_any(names, string_split(earlier, ''))) AS removed,
+    sum(n) FILTER (list_contains(names, x) AND list_has_any(names, string_split(earlier, ''))) AS redundant,
+    sum(n) FILTER (names = [x]) AS unique_fails,
+    sum(good) FILTER (list_contains(names, x) AND NOT list_has_any(names, string_split(earlier, ''))) AS good_lost,
+    sum(toxic) FILTER (list_contains(names, x) AND NOT list_has_any(names, string_split(earlier, ''))) AS toxic_lost
+  FROM fails, s GROUP BY part, o, step, x
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley
+FROM counts
+"""
+
 ORACLES = {
+    "op11_filter_audit": FILTER_AUDIT,
     "op2_decontamination": CONTAMINATION,
     "op4_topk": TOP_K,
     "op6_mixing": MIXING,

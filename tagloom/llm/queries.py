@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontam, html, langid, linededup, mixing, ngramjoin, resample, tokens, topk, toxicity
+from tagloom.llm import audit, decontam, html, langid, linededup, mixing, ngramjoin, resample, tokens, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", _left_out(5, 0).alias("held_out"), "score", predicted, "spans")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    masks = audit.failure_masks(_table(spark, folder, "documents"))
+    return audit.audited(audit.cells(masks, _table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_html,
         op10_toxicity,
+        op11_filter_audit,
     )
 }
