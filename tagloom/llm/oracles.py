@@ -123,7 +123,32 @@ SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST
 FROM counts
 """
 
+FILL_IN_MIDDLE = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), h AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n,
+         CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+         CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS d
+  FROM t
+), f AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+         array_to_string(u[greatest(a, b) + 1:], '') AS s,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain'
+              WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM f
+"""
+
 ORACLES = {
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
     "op11_filter_audit": FILTER_AUDIT,
     "op2_decontamination": CONTAMINATION,
     "op4_topk": TOP_K,

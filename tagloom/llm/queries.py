@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import audit, decontam, html, langid, linededup, mixing, ngramjoin, resample, tokens, topk, toxicity
+from tagloom.llm import audit, decontam, html, infill, langid, linededup, mixing, ngramjoin, resample, tokens, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audited(audit.cells(masks, _table(spark, folder, "labels")))
 
 
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.digests(infill.filled(infill.stored(_table(spark, folder, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html,
         op10_toxicity,
         op11_filter_audit,
+        op12_fill_in_middle,
     )
 }
