@@ -147,7 +147,22 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
 FROM f
 """
 
+CHAT_FORMAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (SELECT *, role || chr(10) || text AS said FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(said || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<s>[INST]  [/INST].</s>.') + length(role) + length(text)
+    + len(regexp_extract_all(said, '<\\*/?s>|\[\\*/?INST\]'))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 ORACLES = {
+    "op13_chat_format": CHAT_FORMAT,
     "op12_fill_in_middle": FILL_IN_MIDDLE,
     "op11_filter_audit": FILTER_AUDIT,
     "op2_decontamination": CONTAMINATION,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import audit, decontam, html, infill, langid, linededup, mixing, ngramjoin, resample, tokens, topk, toxicity
+from tagloom.llm import audit, chat, decontam, html, infill, langid, linededup, mixing, ngramjoin, resample, tokens, topk, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,6 +79,14 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return infill.digests(infill.filled(infill.stored(_table(spark, folder, "documents"))))
 
 
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts consist of control strings."""
+    said = "</s>[INST] ok [/INST]"
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.formatted(turns.union(more)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
         op11_filter_audit,
         op12_fill_in_middle,
+        op13_chat_format,
     )
 }
