@@ -4,9 +4,12 @@ Only documents are labelled, so tokens get their labels from them: the word feat
 that explain most toxic documents and hardly any clean one are picked one after another, each time over the documents
 not yet explained; so are features just as precise that stand between ever other words (in copies of a text they don't).
 A word of a toxic document with a picked feature is a toxic token, all others are clean. The field
-(two states, hashed features of each word, transitions) is fitted to these tokens by gradient steps on at most about
-``SAMPLE`` documents of each label, chosen by a hash of the id (all of them, if fewer). Forward-backward marginals give
-toxic spans with character offsets; a document's score is a logistic function of its highest marginal.
+(two states, hashed features of each word, transitions) is fitted to these tokens by gradient steps. Forward-backward
+marginals give toxic spans with character offsets; a document's score is a logistic function of its highest marginal.
+
+The fit is one task on a bounded sample of labelled texts: of each label about ``SAMPLE`` documents by a hash of the id, then in
+the order of that hash as many whole texts as fit ``SAMPLE_BYTES``; texts longer than ``LONGEST`` bytes are not learned from.
+Gradient steps take all chains with toxic tokens and, by a hash, about ``CLEAN_CHAINS`` of the others.
 
 A chain is a sentence, or ``CHAIN`` words of a longer one. Null text and text without words have the lowest score. Labels
 other than 0 and 1, and labels without doc_id, teach nothing; of several labels for an id the highest counts, of several
@@ -19,18 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm import textvec
+from tagloom.plans.stages import stage
 
 SAMPLE = 2500
+#: Bytes of texts of each label that the fit reads, and of one text among them; a byte costs it about 40 bytes of memory
+SAMPLE_BYTES, LONGEST = 1 << 22, 1 << 20
+CLEAN_CHAINS = 20_000
 CHAIN = 256
 BITS = 18
 STEPS = 100
 #: A picked feature is in at least so many unexplained toxic documents, and this share of the documents it is in is toxic
 SUPPORT, PRECISION = 3, 0.8
-_CLEAN_CHAINS = 20_000
 _BEGINNINGS, _ENDINGS = (3, 4, 5), (3, 4)
 _STOP = textvec.separators([(0x0A, 0x0A), (0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F)])
 
@@ -44,19 +50,20 @@ class Words:
         hashes, self.rows = textvec.words(texts, textvec.NOT_WORD)
         n = len(self.starts)
         lengths = self.ends - self.starts
-        features = [hashes]
+        high = np.uint64(32)
+        features = [(hashes >> high).astype(np.uint32)]
         small = textvec._BYTE[self.buffer]
         for size in _BEGINNINGS:
             part = np.full(n, size, dtype=np.uint64)
             for j in range(size):
                 part = part * np.uint64(0x9E3779B97F4A7C15) + np.where(j < lengths, small[np.minimum(self.starts + j, len(small) - 1)], np.uint64(0))
-            features.append(textvec.mix(part))
+            features.append((textvec.mix(part) >> high).astype(np.uint32))
         for size in _ENDINGS:
             part = np.full(n, 16 + size, dtype=np.uint64)
             for j in range(size):
                 part = part * np.uint64(0x9E3779B97F4A7C15) + np.where(j < lengths, small[np.maximum(self.ends - 1 - j, 0)], np.uint64(0))
-            features.append(textvec.mix(part))
-        #: words x kinds of feature
+            features.append((textvec.mix(part) >> high).astype(np.uint32))
+        #: words x kinds of feature, 32 bits of a hash each
         self.features = np.stack(features, axis=1)
         stops = np.cumsum(_STOP[self.buffer])
         sentence = stops[self.starts] if n else np.empty(0, dtype=np.int64)
@@ -69,7 +76,7 @@ class Words:
 
     @property
     def slots(self) -> np.ndarray:
-        return (self.features >> np.uint64(64 - BITS)).astype(np.int32)
+        return (self.features >> np.uint32(32 - BITS)).astype(np.int32)
 
 
 def marginals(emissions: np.ndarray, chains: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -122,17 +129,26 @@ def marginals(emissions: np.ndarray, chains: np.ndarray, transitions: np.ndarray
     return p, (both / both.sum(axis=(0, 1))).sum(axis=2)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Different values in order; ``values`` is sorted in place."""
+    values.sort()
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def toxic_tokens(words: Words, toxic: np.ndarray) -> np.ndarray:
     """Token labels from document labels, by picking the features that explain the toxic documents."""
     kinds = words.features.shape[1]
-    keys = words.features.reshape(-1)
-    docs = np.repeat(words.rows, kinds)
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    once = np.ones(len(keys), dtype=bool)
-    once[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    keys, docs = keys[once], docs[once]
-    names, feature = np.unique(keys, return_inverse=True)
+    both = (words.features.astype(np.uint64) << np.uint64(32)).reshape(-1)
+    both |= np.repeat(words.rows.astype(np.uint64), kinds)
+    both = _distinct(both)
+    keys, docs = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    del both
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    names, feature = keys[new], np.cumsum(new, dtype=np.int32) - 1
+    del keys, new
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     clean = np.bincount(feature[~toxic[docs]], minlength=len(names)) * (n_toxic / n_clean)
     on_toxic = toxic[docs]
@@ -154,15 +170,16 @@ def toxic_tokens(words: Words, toxic: np.ndarray) -> np.ndarray:
 
 def _varied(words: Words, toxic: np.ndarray, names: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """Features as precise as the picked ones that stand between ever other words, as those of copied texts don't."""
-    around = np.concatenate([words.features[:, 0], np.zeros(2, dtype=np.uint64)])
-    context = textvec.mix(np.roll(around, 1)[:-2] * np.uint64(3) + around[1:-1] * np.uint64(5))
+    around = np.concatenate([words.features[:, 0], np.zeros(2, dtype=np.uint32)]).astype(np.uint64)
+    context = textvec.mix(np.roll(around, 1)[:-2] * np.uint64(3) + around[1:-1] * np.uint64(5)) >> np.uint64(32)
     on_toxic = toxic[words.rows]
     kinds = words.features.shape[1]
     feature = np.searchsorted(names, words.features[on_toxic].reshape(-1))
 
     def different(values: np.ndarray) -> np.ndarray:
-        pairs = np.unique(np.stack([feature.astype(np.uint64), np.repeat(values[on_toxic].astype(np.uint64), kinds)], axis=1), axis=0)
-        return np.bincount(pairs[:, 0].astype(np.int64), minlength=len(names))
+        pairs = feature.astype(np.uint64) << np.uint64(32)
+        pairs |= np.repeat(values[on_toxic].astype(np.uint64), kinds)
+        return np.bincount((_distinct(pairs) >> np.uint64(32)).astype(np.int64), minlength=len(names))
 
     docs, contexts = different(words.rows), different(context)
     good = (docs >= 2 * SUPPORT) & (docs >= PRECISION * (docs + clean + 0.5)) & (contexts >= 0.5 * docs)
@@ -173,10 +190,12 @@ def _trained(words: Words, labels: np.ndarray, keep: np.ndarray) -> tuple[np.nda
     """Feature weights, transitions and bias, by adaptive gradient steps on the chains that ``keep`` names."""
     lengths = np.diff(np.append(words.chains, len(labels)))
     use = np.repeat(keep, lengths)
-    slots, y = words.slots[use], labels[use].astype(float)
+    slots, y = words.slots[use].T, labels[use].astype(float)
     chains = np.cumsum(lengths[keep]) - lengths[keep]
-    used, local = np.unique(slots, return_inverse=True)
-    local = local.reshape(slots.shape)
+    taken = np.zeros(1 << BITS, dtype=bool)
+    taken[slots] = True
+    used = np.flatnonzero(taken)
+    local = (np.cumsum(taken, dtype=np.int32) - 1)[slots]  # kinds of feature x words
     weights, speed = np.zeros(len(used)), np.full(len(used), 1e-3)
     transitions, pace = np.zeros((2, 2)), np.full((2, 2), 1e-3)
     bias, bias_pace = -4.0, 1e-3
@@ -187,9 +206,9 @@ def _trained(words: Words, labels: np.ndarray, keep: np.ndarray) -> tuple[np.nda
     np.add.at(seen, (y[right - 1].astype(int), y[right].astype(int)), 1)
     n = max(1.0, y.sum())
     for _ in range(STEPS):
-        p, pairs = marginals(weights[local].sum(axis=1) + bias, chains, transitions, pairs=True)
+        p, pairs = marginals(sum(weights[kind] for kind in local) + bias, chains, transitions, pairs=True)
         gap = (y - p) / n
-        slope = np.bincount(local.reshape(-1), np.repeat(gap, slots.shape[1]), minlength=len(used)) - 1e-4 * weights
+        slope = sum(np.bincount(kind, gap, minlength=len(used)) for kind in local) - 1e-4 * weights
         speed += slope**2
         weights += 0.5 * slope / np.sqrt(speed)
         turn = (seen - pairs) / n - 1e-3 * transitions
@@ -230,17 +249,17 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     labels = toxic_tokens(words, toxic)
     lengths = np.diff(np.append(words.chains, len(labels)))
     with_toxic = np.add.reduceat(labels, words.chains) > 0 if len(words.chains) else np.empty(0, dtype=bool)
-    chance = textvec.mix(words.features[words.chains, 0] ^ lengths.astype(np.uint64)) >> np.uint64(40)
-    keep = with_toxic | (chance < (1 << 24) * min(1.0, _CLEAN_CHAINS / max(1, len(lengths))))
+    chance = textvec.mix(words.features[words.chains, 0].astype(np.uint64) ^ lengths.astype(np.uint64)) >> np.uint64(40)
+    keep = with_toxic | (chance < (1 << 24) * min(1.0, CLEAN_CHAINS / max(1, len(lengths))))
     weights, transitions, bias = _trained(words, labels, keep)
-    p, _ = marginals(weights[words.slots].sum(axis=1) + bias, words.chains, transitions)
+    p, _ = marginals(sum(weights[kind] for kind in words.slots.T) + bias, words.chains, transitions)
     slope, offset = _logistic(_evidence(p, words.rows, len(rows)), toxic.astype(float))
     numbers = [*transitions.reshape(-1), bias, max(slope, 0.0), offset]
     yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([numbers], pa.list_(pa.float64()))], ["weights", "numbers"])
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> dict:
-    """Field from the labelled documents. The sample is bounded by ``SAMPLE``; only its ids are broadcast."""
+    """Field from the labelled documents. The sample is bounded by ``SAMPLE`` and ``SAMPLE_BYTES``; only its ids are broadcast."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
@@ -249,9 +268,15 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict:
         return plain
     rate = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / n1)).otherwise(min(1.0, SAMPLE / n0))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30) < rate)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= LONGEST)
     texts = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    pairs = texts.groupBy("text").agg(F.max("toxic").cast("int").alias("toxic"))
+    place = F.min(F.xxhash64(F.lit("order"), "doc_id")).alias("place")
+    pairs = stage(texts.groupBy("text").agg(F.max("toxic").cast("int").alias("toxic"), place), "sample")
+    read = F.sum("size").over(Window.partitionBy("toxic").orderBy("place"))  # sizes of the sample only
+    sizes = pairs.select("toxic", "place", F.octet_length("text").alias("size")).withColumn("read", read)
+    last = {r[0]: r[1] for r in sizes.where(F.col("read") <= SAMPLE_BYTES).groupBy("toxic").agg(F.max("place")).collect()}
+    fits = F.col("place") <= F.when(F.col("toxic") == 1, last.get(1)).otherwise(last.get(0))
+    pairs = pairs.where(fits).select("text", "toxic")
     found = pairs.repartition(1).mapInArrow(_fit, "weights binary, numbers array<double>").first()
     if found is None:
         return plain
