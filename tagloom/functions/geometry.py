@@ -27,17 +27,18 @@ def greedy_match_sql(left: str, right: str, threshold: float = MATCH_IOU, label:
     Each left box takes the still free right box of the same label with the
     highest IoU, the first of equals, if that reaches the threshold.
     """
-    free = f"other.{label} = step.box.{label} AND NOT exists(taken, m -> m.right_pos = pos)"
-    rated = f"struct(CASE WHEN {free} THEN {iou_sql('step.box.', 'other.')} ELSE 0D END AS iou, -pos AS back)"
-    best = f"array_max(transform({right}, (other, pos) -> {rated}))"
+    overlap = f"CASE WHEN free.other.{label} = step.box.{label} THEN {iou_sql('step.box.', 'free.other.')} ELSE 0D END"
+    best = f"array_max(transform(state.open, free -> struct({overlap} AS iou, -free.pos AS back)))"
     # an inner fold over the single best candidate names it, so that it is computed once
     take = (
-        f"aggregate(array({best}), taken, (kept, top) -> CASE WHEN top.iou > 0D AND top.iou >= {threshold}D"
-        f" THEN concat(kept, array(struct(step.pos AS left_pos, -top.back AS right_pos, top.iou AS iou)))"
-        " ELSE kept END)"
+        f"aggregate(array({best}), state, (state, top) -> CASE WHEN top.iou > 0D AND top.iou >= {threshold}D THEN"
+        " struct(filter(state.open, free -> free.pos <> -top.back) AS open,"
+        f" CAST(concat(state.kept, array(struct(step.pos AS left_pos, -top.back AS right_pos, top.iou AS iou))) AS {MATCHES}) AS kept)"
+        " ELSE state END)"
     )
     steps = f"transform({left}, (box, pos) -> struct(box, pos))"
-    return f"aggregate({steps}, CAST(array() AS {MATCHES}), (taken, step) -> CAST({take} AS {MATCHES}))"
+    start = f"struct(transform({right}, (other, pos) -> struct(other, pos)) AS open, CAST(array() AS {MATCHES}) AS kept)"
+    return f"aggregate({steps}, {start}, (state, step) -> {take}, state -> state.kept)"
 
 
 def match_score_sql(left: str, right: str, threshold: float = MATCH_IOU, label: str = "label") -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.plans.stages import stage
 
-# Items per group that one row may hold; larger groups take the distributed way.
+# Items of a group that are put into one row; larger groups are treated by joins, with the same result.
 GROUP_LIMIT = 512
 
 # Rows up to which a dimension table is broadcast; larger ones are shuffled.
@@ -21,8 +21,8 @@ _BLOCK = 65_536
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups within the limit, and those of the larger groups (``None`` if there are none).
 
-    The counting pass combines on the map side, and the table of large groups
-    has at most ``rows / limit`` entries.
+    Both are read once to count and once or twice to use, so pass a stored table if it is dear to make. The counting pass
+    combines on the map side, and the table of large groups has at most ``rows / limit`` entries.
     """
     keys = list(keys)
     hot = stage(df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys), "hot-groups")
@@ -31,8 +31,8 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> t
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
-def rank_in_group(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
-    """1-based rank of a row in its group by an integer column that is unique in the group.
+def rank_in_group(df: DataFrame, keys: Sequence[str], order: str, name: str, ties: Sequence[str] = ()) -> DataFrame:
+    """1-based rank of a row in its group by an integer column, and by ``ties`` where that isn't unique in the group.
 
     Works in blocks of the order column: block counts give the offset, and only
     the rows of one block are ever sorted together.
@@ -45,7 +45,7 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: str, name: str) ->
         .count()
         .select(*keys, "_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    inside = Window.partitionBy(*keys, "_block").orderBy(order, *ties)
     return (
         blocked.join(offsets, [*keys, "_block"])
         .withColumn(name, F.col("_offset") + F.row_number().over(inside))

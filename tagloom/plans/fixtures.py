@@ -452,3 +452,8 @@ def unreliable_model():
         ]
 
     return predict
+
+
+def other_model():
+    """A model that always answers, with one classification and no boxes."""
+    return lambda batch: ['{"classifications": [{"label": "seen"}]}'] * len(batch)

@@ -2,14 +2,6 @@
 
 from __future__ import annotations
 
-from tagloom.operators.inference import (
-    DEFAULT_PROMPT,
-    DEFAULT_TASK,
-    SYSTEM_HEAD,
-    SYSTEM_TAIL,
-    TASK_SCHEMAS,
-)
-
 # --- tables ------------------------------------------------------------------------------------------
 
 IMAGES = """SELECT o_orderkey AS image_id,
@@ -368,7 +360,28 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_SCHEMA_CASE = "CASE task_type " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in TASK_SCHEMAS.items())
+# The answer shape asked for, by task type, and the texts around it, written out apart from the operator.
+_BOX_SHAPE = '"xmin": float, "ymin": float, "xmax": float, "ymax": float, "confidence": float}]}'
+_SHAPES = {
+    "classification": 'Return image classification results strictly as JSON:\n{"classifications": [{"label": "class_name", "confidence": float}]}',
+    "object_detection": 'Return object detection results strictly as JSON:\n{"boxes": [{"label": "class_name", ' + _BOX_SHAPE,
+    "segmentation": 'Return polygon segmentation results strictly as JSON:\n'
+    '{"segments": [{"label": "class_name", "polygon": [{"x": float, "y": float}], "confidence": float}]}',
+    "pose_estimation": 'Return pose estimation results strictly as JSON:\n'
+    '{"poses": [{"label": "person", "confidence": float, "keypoints": [{"name": "nose", "x": float, "y": float, "visible": bool, "confidence": float}]}]}',
+    "ocr": 'Return OCR/text-region results strictly as JSON:\n{"texts": [{"text": "recognized text", ' + _BOX_SHAPE,
+    "tracking": 'Return tracking labels strictly as JSON:\n{"tracks": [{"track_id": "id", "frame_id": int, "label": "class_name", ' + _BOX_SHAPE,
+    "all": 'Return any visible labels strictly as JSON using these keys as applicable:\n'
+    '{"classifications": [], "boxes": [], "segments": [], "poses": [], "texts": [], "tracks": []}\n'
+    "boxes/texts/tracks use xmin, ymin, xmax, ymax. segments use polygon points. poses use keypoints.",
+}
+_BEFORE_SHAPE = "You label images for training data.\n"
+_AFTER_SHAPE = (
+    "\nGive every coordinate as a share of the image's width or height, from 0.0 to 1.0.\nIn boxes and regions, xmin is less than xmax"
+    " and ymin less than ymax.\nAnswer with the JSON object alone: no code fence, no text before or after it."
+)
+_ASKED = "Name and locate each object that stands out in this image. Answer in JSON."
+_SCHEMA_CASE = "CASE task_type " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in _SHAPES.items())
 
 _PARSED_POINTS = """SELECT image_id, j, q, label, confidence, CASE WHEN x <= 1 THEN x::DOUBLE ELSE x::DOUBLE / 1000 END AS x,
   CASE WHEN y <= 1 THEN y::DOUBLE ELSE y::DOUBLE / 1000 END AS y
@@ -534,8 +547,14 @@ SELECT *, round(max_n / min_n, 6) AS ratio, n_classes > 1 AND max_n / min_n > 3
     "unreadable_images": f"SELECT image_id, image_name, 'unreadable image' AS error FROM ({IMAGES}) WHERE image_id % 11 = 0",
     "inference_resume": f"""SELECT image_id, 'low' AS tier, run FROM ({_ORDERS}) CROSS JOIN (VALUES (0), (1), (2)) runs(run)
 WHERE (image_id + run) % 4 = 0""",
-    "prompt_rows": f"""SELECT image_id, task_type, concat({_quoted(SYSTEM_HEAD)}, {_SCHEMA_CASE}
-  ELSE {_quoted(TASK_SCHEMAS[DEFAULT_TASK])} END, {_quoted(SYSTEM_TAIL)}) AS system_message, {_quoted(DEFAULT_PROMPT)} AS prompt,
+    "resumed_run": f"""SELECT image_id, run, CASE WHEN kept THEN attempts ELSE 1 END::BIGINT AS attempts, true AS ok,
+  CASE WHEN kept THEN n_boxes ELSE 0 END::BIGINT AS n_boxes, NOT kept AS asked_again
+FROM (SELECT *, ok AND (image_id + run) % 4 <> 0 AS kept FROM ({_CALLS}))""",
+    "changed_prompt": f"""SELECT image_id, run, prompt, CASE prompt WHEN 'first' THEN attempts ELSE 1 END::BIGINT AS attempts,
+  CASE prompt WHEN 'first' THEN n_boxes ELSE 0 END::BIGINT AS n_boxes
+FROM ({_CALLS}) CROSS JOIN (VALUES ('first'), ('second')) p(prompt) WHERE ok OR prompt = 'second'""",
+    "prompt_rows": f"""SELECT image_id, task_type, concat({_quoted(_BEFORE_SHAPE)}, {_SCHEMA_CASE}
+  ELSE {_quoted(_SHAPES["object_detection"])} END, {_quoted(_AFTER_SHAPE)}) AS system_message, {_quoted(_ASKED)} AS prompt,
   CASE WHEN image_id % 3 = 2 THEN 'image/png' ELSE 'image/jpeg' END AS media_type
 FROM (SELECT image_id, CASE image_id % 8 WHEN 0 THEN 'classification' WHEN 1 THEN 'object_detection' WHEN 2 THEN 'segmentation'
   WHEN 3 THEN 'pose_estimation' WHEN 4 THEN 'ocr' WHEN 5 THEN 'tracking' WHEN 6 THEN 'all' ELSE 'other' END AS task_type

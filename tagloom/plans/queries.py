@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from tagloom.functions.labels import items_of, label_bag, mean_confidence
 from tagloom.operators import cascade, consistency, evaluate, ids, inference, insight, matching, metrics, overlay
 from tagloom.plans import fixtures, labeling
 from tagloom.plans.fixtures import HIGH_MODEL, LOW_MODEL, RUNS, Tables
-from tagloom.plans.stages import stage
+from tagloom.plans.stages import stage, stage_root
 from tagloom.schemas import CORNERS, KINDS
 from tagloom.sinks import documents
 from tagloom.sources import yolo
@@ -666,6 +667,47 @@ def inference_resume(t: Tables) -> DataFrame:
     return inference.remaining_requests(requests, done).select("image_id", "tier", "run")
 
 
+def _answer_log(t: Tables) -> str:
+    return f"{stage_root(t.spark)}/answer-log-{uuid.uuid4().hex}"
+
+
+@query
+def resumed_run(t: Tables) -> DataFrame:
+    """A run that got through three quarters of its requests, taken up again by a model that says something else.
+
+    Only what has no good answer in the log is asked, failed requests included.
+    """
+    requests, log = _requests(t), _answer_log(t)
+    inference.infer(requests.filter("(image_id + run) % 4 <> 0"), fixtures.unreliable_model, backoff_seconds=0.0, batch_size=4096, store=log)
+    rows = inference.infer(requests, fixtures.other_model, backoff_seconds=0.0, batch_size=4096, store=log)
+    return rows.select(
+        "image_id",
+        "run",
+        F.col("attempts").cast("bigint").alias("attempts"),
+        "ok",
+        F.size("boxes").cast("bigint").alias("n_boxes"),
+        (F.size("classifications") > 0).alias("asked_again"),
+    )
+
+
+@query
+def changed_prompt(t: Tables) -> DataFrame:
+    """Two runs on one log with different prompts: the second is asked everything anew, and the log has both."""
+    requests, log = _requests(t), _answer_log(t)
+    for prompt, model in (("first", fixtures.unreliable_model), ("second", fixtures.other_model)):
+        inference.infer(
+            requests, model, backoff_seconds=0.0, batch_size=4096, store=log, complete=lambda sent, p=prompt: sent.withColumn("prompt", F.lit(p))
+        )
+    prompts = [
+        inference.with_fingerprint(requests, lambda sent, p=p: sent.withColumn("prompt", F.lit(p))).select("image_id", "run", "asked", F.lit(p).alias("prompt"))
+        for p in ("first", "second")
+    ]
+    answers = inference.read_answers(t.spark, log).filter("ok").select("image_id", "run", "asked", "attempts", "boxes")
+    return answers.join(prompts[0].unionByName(prompts[1]), ["image_id", "run", "asked"]).select(
+        "image_id", "run", "prompt", F.col("attempts").cast("bigint").alias("attempts"), F.size("boxes").cast("bigint").alias("n_boxes")
+    )
+
+
 @query
 def prompt_rows(t: Tables) -> DataFrame:
     tasks = (

@@ -15,14 +15,16 @@ def _path(column: Column) -> Column:
 PNG_SIGNATURE = "89504E470D0A1A0A"
 
 
-def scan_images(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
-    """Images directly in ``folder`` by extension: image_name, image_path, n_bytes (and content).
+def scan_images(spark: SparkSession, folder: str, with_content: bool = False, with_times: bool = False) -> DataFrame:
+    """Images directly in ``folder`` by extension: image_name, image_path, n_bytes (and modified_at, content).
 
     Without ``with_content`` only the listing is read, never the files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     name = base_name(F.col("path"))
     columns = [name.alias("image_name"), _path(F.col("path")).alias("image_path"), F.col("length").alias("n_bytes")]
+    if with_times:  # part of the question in an answer log: a changed image is asked about again
+        columns.append(F.col("modificationTime").alias("modified_at"))
     if with_content:
         columns.append(F.col("content"))
     return files.filter(is_image_name(name)).select(*columns)

@@ -80,6 +80,71 @@ def test_chain_of_contests(spark):
         assert got_matches(matching.match_boxes(a, b, ["image_id"], limit=0)) == expected_matches(ordered, right, 0.5)
 
 
+def test_chain_of_a_thousand_boxes(spark, monkeypatch):
+    """One component that is one long path: found in a number of rounds like its logarithm, and matched in one pass."""
+    from tagloom.operators import components
+
+    rounds, stored = [], components.stage
+    monkeypatch.setattr(components, "stage", lambda df, name: rounds.append(name) or stored(df, name))
+    monkeypatch.setattr(matching, "_match_in_rounds", None)
+    # boxes that reach 0.5 only with their next neighbour
+    left = [(1, n, "a", 2 * n / 16, 0.0, (2 * n + 5) / 16, 0.5) for n in range(500)]
+    right = [(1, n, "a", (2 * n + 1) / 16, 0.0, (2 * n + 6) / 16, 0.5) for n in range(500)]
+    order = list(range(500))
+    random.Random(3).shuffle(order)
+    left = [(1, order[r[1]], *r[2:]) for r in left]
+    a, b = (spark.createDataFrame(x, BOXES) for x in (left, right))
+    assert got_matches(matching.match_boxes(a, b, ["image_id"], limit=0)) == expected_matches(left, right, 0.5)
+    assert 5 <= len(rounds) <= 2 * 10 + 2
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_giant_components_match_like_the_rule(spark, seed):
+    """Components too large for one task are matched in rounds; ``component_rows`` doesn't change the result."""
+    left, right = make_boxes(seed + 40, images=3, most=20), make_boxes(seed + 140, images=3, most=20)
+    a, b = (spark.createDataFrame(rows, BOXES) for rows in (left, right))
+    for rows in (0, 12):
+        got = matching.match_boxes(a, b, ["image_id"], 0.3, limit=0, component_rows=rows)
+        assert got_matches(got) == expected_matches(left, right, 0.3)
+
+
+def test_components_of_links(spark):
+    from tagloom.operators.components import connected
+
+    rng = random.Random(11)
+    links = [(n, n + 1) for n in range(100, 400) if n % 50] + [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(60)] + [(7, 7)]
+    rng.shuffle(links)
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in links:
+        low, high = sorted((find(x), find(y)))
+        root[high] = low
+    got = {r.id: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    linked = {x for x, y in links if x != y} | {y for x, y in links if x != y}
+    assert got == {x: find(x) for x in linked}
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_crowded_cells_meet_in_blocks(spark, monkeypatch):
+    """Near copies share a cell; blocks of it meet in different tasks, every pair once."""
+    monkeypatch.setattr(matching, "CELL_BLOCK", 8)
+    rng = random.Random(5)
+
+    def near(n):
+        return [(1, i, "a", 0.2 + rng.random() / 500, 0.2, 0.6 + rng.random() / 500, 0.6) for i in range(n)]
+
+    left, right = near(60) + [(2, 900, "a", 0.1, 0.1, 0.2, 0.2)], near(45) + [(2, 901, "a", 0.1, 0.1, 0.2, 0.21)]
+    a, b = (spark.createDataFrame(x, BOXES) for x in (left, right))
+    pairs = matching.grid_pairs(a, b, ["image_id", "label"])
+    assert sorted((r.left_item_ix, r.right_item_ix) for r in pairs.collect()) == sorted([(i, j) for i in range(60) for j in range(45)] + [(900, 901)])
+    assert got_matches(matching.match_boxes(a, b, ["image_id"], limit=10)) == expected_matches(left, right, 0.5)
+
+
 def test_nothing_to_match(spark):
     a = spark.createDataFrame([(1, 0, "a", 0.0, 0.0, 0.1, 0.1)], BOXES)
     b = spark.createDataFrame([(1, 0, "b", 0.0, 0.0, 0.1, 0.1)], BOXES)

@@ -224,6 +224,96 @@ def test_a_second_run_on_a_store_asks_only_the_rest(spark, tmp_path):
     assert inference.read_answers(spark, store).count() == 7
 
 
+REQUEST = "image_id long, tier string, run int, model string, temperature double, task_type string, image_width int"
+
+
+def request_rows(spark, n=6, model="m", temperature=0.7, task_type="ocr", width=4):
+    return spark.createDataFrame([(i, "low", 0, model, temperature, task_type, width) for i in range(n)], REQUEST)
+
+
+def test_another_question_is_asked_anew(spark, tmp_path):
+    """Model, prompt, temperature, task type and image are part of a stored answer's key."""
+    store = str(tmp_path / "answers")
+
+    def saying(word):
+        return lambda: lambda batch: [json.dumps({"classifications": [{"label": word}]})] * len(batch)
+
+    def ask(word, prompt="p", **changed):
+        with_prompt = lambda sent: sent.withColumn("prompt", F.lit(prompt))
+        rows = inference.infer(request_rows(spark, **changed), saying(word), backoff_seconds=0.0, store=store, complete=with_prompt).collect()
+        assert len(rows) == changed.get("n", 6)
+        return {r.classifications[0].label for r in rows}
+
+    assert ask("one") == {"one"} and ask("two") == {"one"}
+    assert ask("three", prompt="q") == {"three"} and ask("four") == {"one"} and ask("five", prompt="q") == {"three"}
+    for n, changed in enumerate(({"model": "other"}, {"temperature": 0.0}, {"task_type": "all"}, {"width": 5})):
+        assert ask(f"new {n}", **changed) == {f"new {n}"} and ask("late", **changed) == {f"new {n}"}
+    assert ask("six", n=8) == {"one", "six"}
+    assert inference.read_answers(spark, store).count() == 8 + 5 * 6
+
+
+def test_failed_requests_are_asked_again_by_the_next_run(spark, tmp_path):
+    store = str(tmp_path / "answers")
+
+    def broken():
+        return lambda batch: ["{}" if i else TimeoutError("late") for i in batch["image_id"]]
+
+    first = {r.image_id: r for r in inference.infer(request_rows(spark, 3), broken, backoff_seconds=0.0, store=store).collect()}
+    assert [first[i].ok for i in range(3)] == [False, True, True] and first[0].attempts == 3
+    settled = {r.image_id: r.ok for r in inference.read_answers(spark, store).collect()}
+    assert settled == {0: False, 1: True, 2: True}
+    again = inference.infer(request_rows(spark, 3), lambda: lambda batch: ["{}"] * len(batch), backoff_seconds=0.0, store=store)
+    assert {r.image_id: (r.ok, r.attempts) for r in again.collect()} == {0: (True, 1), 1: (True, 1), 2: (True, 1)}
+    assert {r.image_id: r.ok for r in inference.read_answers(spark, store).collect()} == {0: True, 1: True, 2: True}
+
+
+def test_a_killed_run_loses_one_piece_at_most(spark, tmp_path):
+    """The worker dies in the middle; what it had written is not asked for again."""
+    store = str(tmp_path / "answers")
+
+    def dying():
+        made = []
+
+        def predict(batch):
+            made.extend(batch["image_id"])
+            if len(made) > 25:
+                import os
+
+                os._exit(1)
+            return ["{}"] * len(batch)
+
+        return predict
+
+    with pytest.raises(Exception):
+        inference.infer(request_rows(spark, 60), dying, backoff_seconds=0.0, batch_size=5, store=store, partitions=1, piece_rows=10).collect()
+    kept = {r.image_id for r in inference.read_answers(spark, store).collect()}
+    assert len(kept) == 20
+    asked = str(tmp_path / "asked")
+
+    def careful():
+        def predict(batch):
+            pathlib.Path(asked).open("a").writelines(f"{i}\n" for i in batch["image_id"])
+            return ["{}"] * len(batch)
+
+        return predict
+
+    rows = inference.infer(request_rows(spark, 60), careful, backoff_seconds=0.0, store=store).collect()
+    assert sorted(r.image_id for r in rows) == list(range(60)) and all(r.ok for r in rows)
+    assert {int(x) for x in pathlib.Path(asked).read_text().split()} == set(range(60)) - kept
+
+
+def test_repeated_answers_read_the_same(spark, tmp_path):
+    """A task that ran twice leaves two answers: the first good one counts, at every reading."""
+    store = str(tmp_path / "answers")
+    for word in ("late", "later"):
+        factory = lambda word=word: lambda batch: [json.dumps({"classifications": [{"label": word}]})] * len(batch)
+        asked = inference.with_fingerprint(request_rows(spark)).withColumn("attempt", F.lit(1))
+        asker = inference._asker(asked.schema, factory, 0.0, 64, False)
+        inference.log_answers(asked, asker, inference._LOGGED, f"{store}/ask={word}")
+    for _ in range(2):
+        assert {r.classifications[0].label for r in inference.read_answers(spark, store).collect()} == {"late"}
+
+
 def test_argument_rules():
     assert label_formats("all") == ["yolo", "pascal_voc", "coco", "vision_json"]
     assert label_formats(" COCO, yolo,coco,") == ["coco", "yolo"]
