@@ -2,12 +2,12 @@
 
 Documents are dealt into shards; each shard's words form one suffix array, sorted by prefix doubling, and every suffix
 of the test items is binary-searched in it. Neighbours of the place found give the longest verbatim match and where it
-lies; the range of suffixes that begin with a window of ``WINDOW`` words gives all its occurrences. Documents are
-never shuffled. Runs of words shorter than any window, or with words no item has, are left out of the array: no suffix
+lies; where that is at least a window of ``WINDOW`` words long, the range of suffixes around it that begin with the window
+gives all its occurrences. Documents are never shuffled. Runs of words shorter than any window, or with words no item has, are left out of the array: no suffix
 of them can match. The test items come in blocks of bounded size, one pass over the documents for each block.
 
 Null text has no words; a document or item without words is never hit, nor hits. An item of fewer words than a window
-is one window. Repeated rows and items count each for itself. An empty benchmark leaves all documents clean. Extra
+is one window. Repeated rows count each for itself, and so do items: two rows of one item_id are two items, and both ids are listed; a null id is listed as the empty string. An empty benchmark leaves all documents clean. Extra
 columns are kept by ``clean_documents``.
 """
 
@@ -45,6 +45,8 @@ class Block:
     starts: np.ndarray  # of each different window
     lengths: np.ndarray
     owners: list[np.ndarray]  # items that have the window
+    heads: np.ndarray  # every place at which a whole window of an item starts
+    window_of: np.ndarray  # and which window that is
 
     @property
     def shortest(self) -> int:
@@ -65,6 +67,7 @@ def block_of(items: list[tuple[int, str | None, str | None]], window: int = WIND
         for at in range(begin, begin + count - length + 1) if count else ():
             owners.setdefault(tuple(words[at : at + length].tolist()), set()).add((item, at))
     starts = [min(at for _, at in found) for found in owners.values()]
+    heads = sorted((at, window) for window, found in enumerate(owners.values()) for _, at in found)
     return Block(
         [x[1] if x[1] is not None else "" for x in items],
         [x[0] for x in items],
@@ -74,6 +77,8 @@ def block_of(items: list[tuple[int, str | None, str | None]], window: int = WIND
         np.array(starts, dtype=np.int64),
         np.array([len(k) for k in owners], dtype=np.int64),
         [np.unique([item for item, _ in found]) for found in owners.values()],
+        np.array([at for at, _ in heads], dtype=np.int64),
+        np.array([window for _, window in heads], dtype=np.int64),
     )
 
 
@@ -153,11 +158,13 @@ class Shard:
         flags = np.zeros(len(self.rows) + 1, dtype=np.int64)
         if len(self.order) <= 1 or not len(block.starts):
             return flags[:-1] > 0, np.empty((0, 2), dtype=np.int64)
-        low = self.search(block, block.starts, block.lengths, after=False)
-        high = self.search(block, block.starts, block.lengths, after=True)
+        _, longest = self.matches(block, block.heads)
+        windows = np.unique(block.window_of[longest >= block.lengths[block.window_of]])
+        low = self.search(block, block.starts[windows], block.lengths[windows], after=False)
+        high = self.search(block, block.starts[windows], block.lengths[windows], after=True)
         pairs = []
-        for window in np.flatnonzero(high > low):
-            places = self.places[self.order[low[window] : high[window]]]
+        for window, first, last in zip(windows.tolist(), low.tolist(), high.tolist()):
+            places = self.places[self.order[first:last]]
             np.add.at(flags, places, 1)
             np.add.at(flags, places + block.lengths[window], -1)
             rows, items = np.unique(self.rows[places]), block.owners[window]
@@ -165,16 +172,20 @@ class Shard:
         found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), dtype=np.int64)
         return np.cumsum(flags[:-1]) > 0, found
 
+    def matches(self, block: Block, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the kept words the longest match of each test suffix begins, and its length up to the item's end."""
+        ends = np.flatnonzero(block.words == 0)
+        at = self.search(block, suffixes, ends[np.searchsorted(ends, suffixes)] - suffixes, after=False)
+        below, above = self.order[np.maximum(at - 1, 0)], self.order[np.minimum(at, len(self.order) - 1)]
+        n_below, n_above = self.common(block, suffixes, below), self.common(block, suffixes, above)
+        return np.where(n_above >= n_below, above, below), np.maximum(n_above, n_below)
+
     def longest(self, block: Block) -> Iterator[tuple[int, int, int, int]]:
         """(place in the block, length, row, word in the row) of every test suffix's longest match."""
         suffixes = np.flatnonzero(block.words > 0)
         if len(self.order) <= 1 or not len(suffixes):
             return
-        ends = np.flatnonzero(block.words == 0)
-        at = self.search(block, suffixes, ends[np.searchsorted(ends, suffixes)] - suffixes, after=False)
-        below, above = self.order[np.maximum(at - 1, 0)], self.order[np.minimum(at, len(self.order) - 1)]
-        n_below, n_above = self.common(block, suffixes, below), self.common(block, suffixes, above)
-        where, length = np.where(n_above >= n_below, above, below), np.maximum(n_above, n_below)
+        where, length = self.matches(block, suffixes)
         begins = np.cumsum(self.counts) - self.counts
         for i in np.flatnonzero(length > 0):
             place = self.places[where[i]]

@@ -7,8 +7,11 @@ is read as often as its target asks. The words read before a document are the de
 integral of the schedule at that demand gives its position in training, and documents are range-sorted by position.
 
 Null or empty text has size 0 and is never taken; a null source is a source of its own, the last one; repeated rows are
-rows of their own, whose order among each other doesn't matter. An empty table gives an empty result. Extra columns are
-carried along.
+rows of their own, whose order among each other doesn't matter. The order of a source is that of a hash of doc_id and text, so rows
+without doc_id are spread like all others. An empty table gives an empty result. Extra columns are carried along, but one named
+like a result column gives way to it; names with ``_mix_`` in front are kept for the steps between.
+
+A source's taken words miss its target by at most half its longest document: that is the reading that lies across the target's end.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.plans.stages import stage
+
 #: Weights of the sources in code-point order, repeating
 WEIGHTS = (5, 2, 1)
 #: Knots (time, attention) of the schedules, repeating like the weights: heavy sources early, light ones late
@@ -76,40 +81,58 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+#: What the operator adds to documents, and what a training order adds to that
+ADDED, ORDERED = ("size", "source_size", "target", "taken", "positions"), ("size", "source_size", "target", "taken", "turn", "position")
+
+
 def planned(documents: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence = SCHEDULES, most: int = MOST, carry_text: bool = True) -> DataFrame:
-    """``documents`` with size, source_size, target, taken and ``positions`` (one for each time it is read, ascending)."""
-    sized = documents.withColumn("size", text_size(F.col("text")))
-    sources = source_targets(sized, weights, most).withColumnRenamed("source", "_source")
+    """``documents`` with size, source_size, target, taken and ``positions`` (one for each time it is read, ascending).
+
+    Without ``carry_text`` the texts are read once and left out; with it they are read once for the sums of the sources too.
+    """
+    return _planned(documents, weights, schedules, most, carry_text, ADDED)
+
+
+def _planned(documents: DataFrame, weights: Sequence[int], schedules: Sequence, most: int, carry_text: bool, added: Sequence[str]) -> DataFrame:
+    own = [c for c in documents.columns if c not in added and (carry_text or c != "text")]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2(text, 256)))
+    sized = documents.select(*own, text_size(F.col("text")).alias("_mix_size"), key.alias("_mix_key"), F.col("source").alias("_mix_source"))
     if not carry_text:
-        sized = sized.drop("text")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    docs = sized.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_key", key)
-    buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS)
-    high = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    docs = docs.withColumn("_bucket", F.shiftright(high * buckets, 32))
-    inside = Window.partitionBy("rank", "_bucket").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("rank").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = docs.groupBy("rank", "_bucket").agg(F.sum("size").alias("_words"))
-    offsets = offsets.select("rank", "_bucket", F.coalesce(F.sum("_words").over(upto), F.lit(0)).alias("_offset"))
-    docs = docs.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["rank", "_bucket"])
-    start = F.col("_offset") + F.col("_inside")
+        sized = stage(sized, "sizes")
+    sources = source_targets(sized.select(F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size")), weights, most)
+    sources = sources.select(*[F.col(c).alias(f"_mix_of_{c}") for c in sources.columns])
+    docs = sized.join(sources, F.col("_mix_source").eqNullSafe(F.col("_mix_of_source")))
+    buckets = F.ceil(F.col("_mix_of_n_rows") / BUCKET_ROWS)
+    high = F.conv(F.substring("_mix_key", 1, 8), 16, 10).cast("long")
+    docs = docs.withColumn("_mix_bucket", F.shiftright(high * buckets, 32))
+    place = ["_mix_of_rank", "_mix_bucket"]
+    inside = Window.partitionBy(*place).orderBy("_mix_key", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_mix_of_rank").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = docs.groupBy(*place).agg(F.sum("_mix_size").alias("_mix_words"))
+    offsets = offsets.select(*place, F.coalesce(F.sum("_mix_words").over(upto), F.lit(0)).alias("_mix_offset"))
+    docs = docs.withColumn("_mix_inside", F.coalesce(F.sum("_mix_size").over(inside), F.lit(0))).join(offsets, place)
+    start, size, target = F.col("_mix_offset") + F.col("_mix_inside"), F.col("_mix_size"), F.col("_mix_of_target")
 
     def position(turn: int) -> Column:
-        demand = start + F.col("source_size") * turn
-        share = F.least(demand / F.greatest(F.col("target"), F.lit(1e-9)), F.lit(1.0))
-        which = F.pmod(F.col("rank") - 1, F.lit(len(schedules)))
+        demand = start + F.col("_mix_of_source_size") * turn
+        share = F.least(demand / F.greatest(target, F.lit(1e-9)), F.lit(1.0))
+        which = F.pmod(F.col("_mix_of_rank") - 1, F.lit(len(schedules)))
         time = _times(schedules[-1], share)
         for i, schedule in enumerate(schedules[:-1]):
             time = F.when(which == i, _times(schedule, share)).otherwise(time)
         # a reading counts if its middle lies within the target
-        return F.when((F.col("size") > 0) & (demand * 2 + F.col("size") <= F.col("target") * 2), time)
+        return F.when((size > 0) & (demand * 2 + size <= target * 2), time)
 
-    docs = docs.withColumn("positions", F.array_compact(F.array(*[position(turn) for turn in range(most)])))
-    docs = docs.withColumn("taken", F.col("size") * F.size("positions"))
-    return docs.drop("_key", "_bucket", "_inside", "_offset", "n_rows")
+    docs = docs.withColumn("_mix_positions", F.array_compact(F.array(*[position(turn) for turn in range(most)])))
+    taken = (size * F.size("_mix_positions")).alias("taken")
+    return docs.select(*own, size.alias("size"), F.col("_mix_of_source_size").alias("source_size"), target.alias("target"), taken, F.col("_mix_positions").alias("positions"))
 
 
-def training_order(documents: DataFrame, **options) -> DataFrame:
+def training_order(
+    documents: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence = SCHEDULES, most: int = MOST, carry_text: bool = True
+) -> DataFrame:
     """Every reading of every document as a row (turn, position), range-sorted by position."""
-    readings = planned(documents, **options).select("*", F.posexplode("positions").alias("turn", "position"))
-    return readings.drop("positions", "rank", "weight").repartitionByRange("position", "doc_id", "turn").sortWithinPartitions("position", "doc_id", "turn")
+    plan = _planned(documents, weights, schedules, most, carry_text, (*ADDED, *ORDERED))
+    readings = plan.select(*[c for c in plan.columns if c != "positions"], F.posexplode("positions").alias("turn", "position"))
+    return readings.repartitionByRange("position", "doc_id", "turn").sortWithinPartitions("position", "doc_id", "turn")
