@@ -2,10 +2,12 @@
 
 Markup is stripped to lines: one for each block of text, with the characters of it that are not link text. Lines of
 elements that are no article (navigation, headers, footers, forms, scripts, adverts, comments ...) weigh nothing and
-are no text. Lengths are summed over windows of ``WINDOW`` lines; the text starts where the sums surge above the
-threshold and ends where they dive back. Where a page marks its article, lines outside it weigh nothing and any text
-inside is a surge; elsewhere the sum has to exceed ``SURGE`` characters. Between surge and dive every line of text is
-kept whole.
+are no text. Lengths are summed over windows of ``WINDOW`` lines; the text starts where the sums surge above ``SURGE``
+characters and ends where they dive back, and between surge and dive every line is kept whole, lines of links too.
+
+Article elements weigh in on that: where a page marks its article, each line of it weighs more than a surge by itself, and lines
+outside weigh nothing and are left out. Article elements that hold less text of their own than the lines around them, which surge without
+them, are teasers: then they are what weighs nothing. A page on which nothing surges gives all lines with text of their own.
 
 Null html is an empty page: empty text, no characters. Broken markup (unclosed or crossing elements, cut references,
 stray brackets) never fails. Every row gives one row; extra columns don't matter.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +82,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     stack: list[tuple[str, bool]] = []
     parts: list[tuple[str, bool]] = []
     noise = article = links = at = 0
+    open_: Counter[str] = Counter()
 
     def end_line() -> None:
         if parts:
@@ -91,6 +95,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     def leave() -> str:
         nonlocal noise, article, links
         tag, dropped = stack.pop()
+        open_[tag] -= 1
         noise -= dropped
         article -= tag in ARTICLE_TAGS and not dropped
         links -= tag == "a"
@@ -107,7 +112,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if tag in BLOCKS:
             end_line()
         if closing:
-            if any(tag == name for name, _ in stack):
+            if open_[tag]:
                 while True:
                     left = leave()
                     if left == tag:
@@ -125,6 +130,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if dropped:
             end_line()
         stack.append((tag, dropped))
+        open_[tag] += 1
         noise += dropped
         article += tag in ARTICLE_TAGS and not dropped
         links += tag == "a"
@@ -138,20 +144,30 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     lines = page_lines(page or "")
     if not lines:
         return ""
-    marked = any(inside for _, _, inside in lines)
-    weights = np.array([(len(text) if marked else n) if inside or not marked else 0 for text, n, inside in lines])
-    level = 0 if marked else surge
-    sums = np.convolve(weights, np.ones(window, dtype=np.int64))[window - 1 :]  # of each line and those that follow
-    high = sums > level
+    marked = np.array([inside for _, _, inside in lines])
+    sizes, own = (np.array([f(line) for line in lines]) for f in (lambda x: len(x[0]), lambda x: x[1]))
+
+    def sums(weights: np.ndarray) -> np.ndarray:  # of each line and those that follow
+        return np.convolve(weights, np.ones(window, dtype=np.int64))[window - 1 :]
+
+    around = np.where(marked, 0, own)
+    teasers = marked.any() and around.sum() > own[marked].sum() and bool((sums(around) > surge).any())
+    if teasers:
+        member, weights = ~marked, around
+    elif marked.any():
+        member, weights = marked, np.where(marked, sizes + surge + 1, 0)
+    else:
+        member, weights = ~marked, own
+    high = sums(weights) > surge
     if not high.any():
-        return "\n".join(text for text, n, _ in lines if n) if not marked else ""
+        return "\n".join(text for text, n, _ in lines if n)
     kept, inside = [], False
-    for i, (text, n, in_article) in enumerate(lines):
+    for i, (text, _, _) in enumerate(lines):
         if not inside and high[i] and weights[i]:  # surge, at the first line with text of its own
             inside = True
         elif inside and not high[i] and not weights[i]:  # dive
             inside = False
-        if inside and (in_article if marked else n):
+        if inside and member[i]:
             kept.append(text)
     return "\n".join(kept)
 
