@@ -24,6 +24,8 @@ from tagloom.plans.stages import stage
 SIZE = 1 << 14
 TEMPER = 30.0
 LOWEST = -1000.0
+#: Most bits of the table that keeps texts of unlabelled documents out of the exchange
+FILTER_BITS = 1 << 23
 _STEP = 1 << 20
 _DIGITS = (1 << 20, 1 << 10, 1)
 
@@ -36,13 +38,34 @@ def _grams(texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, SIZE), dtype=np.int64)
-    for rows, texts in textvec.pieces(batches, "text"):
-        good = rows.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        places, owners = _grams(texts)
-        counts[0] += np.bincount(places, minlength=SIZE)
-        counts[1] += np.bincount(places[good[owners]], minlength=SIZE)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE), pa.int32()), pa.array(counts[0]), pa.array(counts[1])], ["place", "raw", "target"])
+    counts = np.zeros(SIZE, dtype=np.int64)
+    for _, texts in textvec.pieces(batches, "text"):
+        counts += np.bincount(_grams(texts)[0], minlength=SIZE)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE), pa.int32()), pa.array(counts)], ["place", "n"])
+
+
+def _counted(texts: DataFrame) -> np.ndarray:
+    """How often each place occurs in ``text``."""
+    out = np.zeros(SIZE)
+    for place, n in texts.select("text").mapInArrow(_tally, "place int, n long").groupBy("place").agg(F.sum("n")).collect():
+        out[place] = n
+    return out
+
+
+def _texts_of(documents: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
+    """``text`` of the documents whose ``doc_id`` is among the different ``ids``, shuffling hardly any other text.
+
+    A table of at most ``FILTER_BITS`` bits, one set for each id by its hash, is small enough to broadcast and leaves out most
+    documents before the exchange; the join with the ids themselves is exact. With very many ids the table lets more through.
+    """
+    words = max(1 << 10, min(FILTER_BITS, 1 << (16 * n_ids).bit_length()) // 64)
+    place = F.xxhash64("doc_id")
+    word, bit = F.pmod(F.shiftright(place, 6), F.lit(words)), F.pmod(place, F.lit(64))
+    table = ids.groupBy(word.alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64L) as int))")).alias("_bits"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text <> ''")
+    passed = docs.join(F.broadcast(table), word == F.col("_word")).where(F.getbit("_bits", bit.cast("int")) == 1)
+    # not a semi join: that would be moved before the table, with all texts
+    return passed.select("doc_id", "text").join(ids, "doc_id").select("text")
 
 
 def log_ratios(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -51,12 +74,7 @@ def log_ratios(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, flo
     total, good = known.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not good or good == total:
         return np.zeros(SIZE), 1.0
-    chosen = known.where("good = 1").select("doc_id", F.lit(True).alias("good"))
-    marked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id", "left")
-    counted = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_tally, "place int, raw long, target long")
-    raw, target = np.zeros(SIZE), np.zeros(SIZE)
-    for place, r, t in counted.groupBy("place").agg(F.sum("raw"), F.sum("target")).collect():
-        raw[place], target[place] = r, t
+    raw, target = _counted(documents), _counted(_texts_of(documents, known.where("good = 1").select("doc_id"), good))
     prior = (raw + 1) / (raw.sum() + SIZE)
     target = (target + prior * 1000) / (target.sum() + 1000)  # places without evidence keep a ratio of 1
     return np.log(target / prior), good / total
