@@ -12,9 +12,6 @@ from tagloom.plans.stages import stage
 # Items of a group that are put into one row; larger groups are treated by joins, with the same result.
 GROUP_LIMIT = 512
 
-# Rows up to which a dimension table is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 100_000
-
 _BLOCK = 65_536
 
 
@@ -51,9 +48,3 @@ def rank_in_group(df: DataFrame, keys: Sequence[str], order: str, name: str, tie
         .withColumn(name, F.col("_offset") + F.row_number().over(inside))
         .drop("_block", "_offset")
     )
-
-
-def join_dimension(df: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a stored lookup table, broadcast only if its row count allows it."""
-    small = dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(dimension) if small else dimension, list(on), how)

@@ -544,6 +544,8 @@ SELECT *, round(max_n / min_n, 6) AS ratio, n_classes > 1 AND max_n / min_n > 3
     "error_quarantine": f"SELECT image_id, run, error, 0::BIGINT AS n_boxes FROM ({_CALLS}) WHERE NOT ok",
     "api_attempts": f"""SELECT 'low' AS tier, sum(attempts)::BIGINT AS api_attempts, count_if(ok) AS successful_predictions,
   count_if(NOT ok) AS failed_predictions FROM ({_CALLS})""",
+    "image_sizes": f"""SELECT image_id, CASE WHEN image_id % 5 < 4 THEN image_width END AS image_width,
+  CASE WHEN image_id % 5 < 4 THEN image_height END AS image_height FROM ({IMAGES})""",
     "unreadable_images": f"SELECT image_id, image_name, 'unreadable image' AS error FROM ({IMAGES}) WHERE image_id % 11 = 0",
     "inference_resume": f"""SELECT image_id, 'low' AS tier, run FROM ({_ORDERS}) CROSS JOIN (VALUES (0), (1), (2)) runs(run)
 WHERE (image_id + run) % 4 = 0""",

@@ -18,7 +18,7 @@ from tagloom.plans.fixtures import HIGH_MODEL, LOW_MODEL, RUNS, Tables
 from tagloom.plans.stages import stage, stage_root
 from tagloom.schemas import CORNERS, KINDS
 from tagloom.sinks import documents
-from tagloom.sources import yolo
+from tagloom.sources import headers, yolo
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTER: dict[str, Query] = {}
@@ -659,6 +659,11 @@ def unreadable_images(t: Tables) -> DataFrame:
     return inference.split_readable(images)[1].select("image_id", "image_name", "error")
 
 
+@query
+def image_sizes(t: Tables) -> DataFrame:
+    return headers.sizes_of(fixtures.image_headers(t), "content")
+
+
 @query
 def inference_resume(t: Tables) -> DataFrame:
     """Requests that are left when the answers of some images are already stored."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.values import base_name, is_image_name
+from tagloom.sources.headers import sizes_of
+
 
 def _path(column: Column) -> Column:
     """One spelling for local files: the two sources differ in the slashes behind ``file:``."""
@@ -18,7 +20,7 @@ PNG_SIGNATURE = "89504E470D0A1A0A"
 def scan_images(spark: SparkSession, folder: str, with_content: bool = False, with_times: bool = False) -> DataFrame:
     """Images directly in ``folder`` by extension: image_name, image_path, n_bytes (and modified_at, content).
 
-    Without ``with_content`` only the listing is read, never the files.
+    Without ``with_content`` only the listing is read, never the files. Empty files are left out, as Spark never lists them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     name = base_name(F.col("path"))
@@ -35,18 +37,16 @@ def with_image_ids(images: DataFrame) -> DataFrame:
     return images.withColumn("image_id", F.xxhash64("image_path"))
 
 
-def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """image_name, image_path, image_width, image_height; unreadable images come with nulls."""
-    decoded = spark.read.format("image").option("dropInvalid", "false").load(folder)
-    path = F.col("image.origin")
-    width, height = F.col("image.width"), F.col("image.height")
-    readable = width > 0
-    return decoded.filter(is_image_name(path)).select(
-        base_name(path).alias("image_name"),
-        _path(path).alias("image_path"),
-        F.when(readable, width).alias("image_width"),
-        F.when(readable, height).alias("image_height"),
-    )
+def image_sizes(spark: SparkSession, folder: str, whole_files: bool = False) -> DataFrame:
+    """image_name, image_path, image_width, image_height of PNG and JPEG files, whatever they are named; unreadable ones come with nulls.
+
+    Workers fetch the first bytes of each file by its path. In a store that only Spark reads, set ``whole_files``.
+    """
+    scanned = scan_images(spark, folder, with_content=whole_files)
+    if whole_files:
+        return sizes_of(scanned.select("image_name", "image_path", "content"), "content")
+    paths = scanned.select("image_name", "image_path", F.col("image_path").alias("_path"))
+    return sizes_of(paths, "_path")
 
 
 def png_size(content: Column) -> Column:

@@ -55,6 +55,48 @@ def test_scan_and_sizes(spark, folder):
     assert {r.image_name: tuple(r.s) if r.s else None for r in headers.collect()}["b.PNG"] == (41, 20)
 
 
+def jpeg(width, height, frame=0xC0, before=b""):
+    head = b"\xff\xd8\xff\xe0\x00\x10JFIF\x00\x01\x01\x00\x00\x01\x00\x01\x00\x00"
+    return head + before + bytes([0xFF, frame, 0, 17, 8]) + struct.pack(">HH", height, width) + bytes(10) + b"\xff\xda\x00\x02" + bytes(50)
+
+
+def segment(marker, size):
+    return bytes([0xFF, marker]) + struct.pack(">H", size + 2) + b"\xff" * size
+
+
+def test_sizes_from_leading_bytes(spark, tmp_path):
+    """Only headers are read: large segments before the size are jumped over, pixels needn't be there."""
+    thumbnail = segment(0xE1, 60_000) + segment(0xE2, 65_000) + b"\xff\xff" + segment(0xDB, 65) + segment(0xC4, 30)
+    text = struct.pack(">I4s", 9000, b"tEXt") + bytes(9004)
+    good = png(33, 44)
+    files_ = {
+        "plain.jpg": (jpeg(640, 480), (640, 480)),
+        "progressive.jpeg": (jpeg(70, 30, 0xC2, thumbnail), (70, 30)),
+        "named.png": (jpeg(5, 6, 0xC1), (5, 6)),
+        "chunks.PNG": (good[:8] + text + good[8:], (33, 44)),
+        "a %20 b.png": (good[:24], (33, 44)),
+        "cut.png": (good[:20], None),
+        "cut.jpg": (jpeg(9, 9, 0xC0, thumbnail)[:100_000], None),
+        "scan.jpg": (b"\xff\xd8\xff\xda\x00\x02" + jpeg(9, 9), None),
+        "nothing.jpg": (b"", None),
+        "zero.jpg": (jpeg(0, 9), None),
+        "text.jpg": (b"GIF89a" * 9, None),
+    }
+    for name, (content, _) in files_.items():
+        (tmp_path / name).write_bytes(content)
+    for whole in (False, True):
+        found = {r.image_name: (r.image_width, r.image_height) for r in image_source.image_sizes(spark, str(tmp_path), whole).collect()}
+        assert found == {name: size or (None, None) for name, (content, size) in files_.items() if content}  # empty files aren't listed
+
+
+def test_few_bytes_are_read():
+    from tagloom.sources import headers
+
+    content, read = jpeg(70, 30, 0xC2, segment(0xE1, 60_000) * 4), []
+    fetch = lambda at, n: read.append(n) or content[at : at + n]
+    assert headers.image_size(headers._ranges(fetch)) == (70, 30) and sum(read) <= 6 * headers.RANGE_BYTES
+
+
 def draft_factory():
     """Answers by image name; b differs between runs, c fails once."""
 
@@ -343,17 +385,59 @@ def test_shared_file_names_are_refused(spark, tmp_path):
         files.write_label_files(twins, str(tmp_path))
 
 
-def test_large_documents_come_in_ordered_parts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "SINGLE_FILE_LINES", 10)
-    images = spark.range(1, 400).selectExpr("id", "concat('n', id) AS file_name", "1 AS width", "1 AS height")
+def coco_of(spark, n, folder, partitions):
+    images = spark.range(1, n + 1).selectExpr("id", "concat('n', id) AS file_name", "1 AS width", "1 AS height")
     none = spark.sql(
         "SELECT id, id AS image_id, 1 AS category_id, array(1) AS bbox, 1 AS area, 0 AS iscrowd, array() AS segmentation,"
         " 1D AS score FROM range(0)"
     )
     classes = spark.sql("SELECT 'a' AS label, 0 AS class_id")
-    target = pathlib.Path(files.write_coco(images, none, documents.coco_categories(classes), str(tmp_path)))
-    text = "".join(part.read_text() for part in sorted(target.glob("part-*")))
-    assert [i["id"] for i in json.loads(text)["images"]] == list(range(1, 400))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(partitions == 1).lower())
+    try:
+        return pathlib.Path(files.write_coco(images, none, documents.coco_categories(classes), str(folder)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_documents_are_one_file_of_the_same_bytes_at_every_size(spark, tmp_path):
+    """However many parts are written side by side, the file is the same, and nothing else is left in the folder."""
+    for n in (0, 10, 300_000):
+        one, many = (coco_of(spark, n, tmp_path / f"{n}-{p}", p) for p in (1, 8))
+        assert one.is_file() and one.read_bytes() == many.read_bytes()
+        assert [i["id"] for i in json.loads(one.read_text())["images"]] == list(range(1, n + 1))
+        assert [x.name for x in many.parent.iterdir()] == ["coco_annotations.json"]
+    classes = spark.range(5000).selectExpr("concat('l', id) AS label", "cast(id AS int) AS class_id")
+    assert pathlib.Path(files.write_class_list(classes, str(tmp_path / "c"))).read_text() == "\n".join(f"l{i}" for i in range(5000))
+    assert files.write_class_list(classes.limit(0), str(tmp_path / "none")) is None
+
+
+def test_an_aborted_write_leaves_nothing(spark, tmp_path):
+    files.register(spark)
+    rows = spark.range(100).repartition(8).selectExpr("concat(id, '.txt') AS file_name", "if(id = 77, raise_error('stop'), 'x') AS content")
+    with pytest.raises(Exception):
+        files.write_label_files(rows, str(tmp_path / "named"), check_names=False)
+    with pytest.raises(Exception):
+        files.write_one_file(rows, ["file_name"], F.col("content"), str(tmp_path / "one"), "doc.txt")
+    assert not [p for folder in ("named", "one") if (tmp_path / folder).exists() for p in (tmp_path / folder).iterdir()]
+    files.write_label_files(rows.filter("file_name <> '77.txt'").withColumn("file_name", F.concat(F.lit("a % "), "file_name")), str(tmp_path / "named"))
+    assert sorted(p.name for p in (tmp_path / "named").iterdir()) == sorted(f"a % {i}.txt" for i in range(100) if i != 77)
+
+
+def test_run_records_are_written_by_the_run(spark, run, tmp_path):
+    csv, jsonl = labeling.record(run, str(tmp_path / "out"), "/vis")
+    assert pathlib.Path(csv).is_file() and pathlib.Path(csv).read_text().splitlines()[0] == ",".join(RUN_METRICS_COLUMNS)
+    rows = [json.loads(line) for line in pathlib.Path(jsonl).read_text().splitlines()]
+    assert [r["image"] for r in rows] == ["a.png", "b.PNG", "c.png"] and tuple(rows[0]) == RUN_METRICS_COLUMNS
+    assert run.written["metrics_csv"] == csv
+
+
+def test_class_ids_do_not_depend_on_the_way(spark, run):
+    classes = spark.createDataFrame([("cat", 1), ("dög & <co>", 0)], "label string, class_id int")
+    for size in (1 << 15, 0):
+        ids = {r.image_name: r.class_ids for r in documents.with_class_ids(run.final, classes, size).collect()}
+        assert ids == {"a.png": [0], "b.PNG": [1], "c.png": [0]}
+    plan = documents.with_class_ids(run.final, classes)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan
 
 
 def test_dense_ids_have_no_gaps(spark):
