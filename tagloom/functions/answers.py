@@ -1,5 +1,8 @@
 """From the free text of a model answer to typed label arrays, as Spark SQL over VARIANT.
 
+What JSON readers commonly take counts as JSON: bare NaN and Infinity, and of repeated keys the last. The latter is a setting of
+the session (``spark.sql.variant.allowDuplicateKeys``), which :func:`parse_answers` switches on.
+
 An answer is judged as a whole: one item that cannot be read (not an object, a
 coordinate that is null or not a number, a label that is a list) makes the
 answer not ``ok`` and leaves it without labels. Items that are merely unusable
@@ -39,6 +42,18 @@ def _body_sql(text: str) -> str:
     return _let("body", _strip(fenced), f"CASE WHEN {bare} THEN {inner} ELSE body END")
 
 
+# Up to the next bare token: whole strings, and all that doesn't begin with the token's first letter.
+_BEFORE_NAN = r"""((?:[^"N]++|"(?:[^"\\]++|\\.)*+"|N(?!aN))*+)"""
+_BEFORE_INFINITY = r"""((?:[^"I]++|"(?:[^"\\]++|\\.)*+"|I(?!nfinity))*+)"""
+
+
+def _plain_numbers(body: str) -> str:
+    """Bare NaN as a text that reads as that number, bare Infinity as a number beyond any scale."""
+    nan = rf"""regexp_replace({body}, r'(?s)\G{_BEFORE_NAN}NaN', '$1"NaN"')"""
+    both = rf"regexp_replace({nan}, r'(?s)\G{_BEFORE_INFINITY}Infinity', '$19e307')"
+    return f"CASE WHEN rlike({body}, 'NaN|Infinity') THEN {both} ELSE {body} END"
+
+
 def answer_json_text(text_column: str) -> Column:
     """JSON part of an answer: the first fenced json block, else the text without bare fences."""
     return F.expr(_body_sql(f"`{text_column}`"))
@@ -55,6 +70,7 @@ def parse_answers(responses: DataFrame, text_column: str = "raw_text") -> DataFr
     Unparsable text is a good answer without labels (``parse_ok`` false); a null
     text, left by a failed call, is a bad one.
     """
+    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     answered = F.col(text_column).isNotNull()
     return responses.withColumn("_answer", parse_answer(text_column)).select(
         *responses.columns,
@@ -69,7 +85,8 @@ def parse_answers(responses: DataFrame, text_column: str = "raw_text") -> DataFr
 
 
 def _answer_sql(text: str) -> str:
-    doc = f"try_parse_json(concat('[', {_body_sql(text)}, ',\"{_END}\"]'))"
+    tolerant = _let("body", _body_sql(text), _plain_numbers("body"))
+    doc = f"try_parse_json(concat('[', {tolerant}, ',\"{_END}\"]'))"
     readable = (
         f"coalesce(try_variant_get(doc, '$[1]', 'string') = '{_END}' AND variant_get(doc, '$[2]', 'variant') IS NULL, false)"
     )

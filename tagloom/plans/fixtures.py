@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators.inference import Timed
 from tagloom.functions.answers import parse_answers
 from tagloom.functions.labels import mean_confidence
 from tagloom.functions.values import uncertainty
@@ -438,6 +439,16 @@ def canned_model():
     return predict
 
 
+def timed(factory, seconds):
+    """The model of ``factory``, which says of each call that it took so long."""
+
+    def made():
+        predict = factory()
+        return lambda batch: [Timed(answer, seconds) for answer in predict(batch)]
+
+    return made
+
+
 def unreliable_model():
     """As the canned model, but calls fail by key: one in 5 once, one in 10 twice, one in 20 always."""
 
@@ -476,3 +487,17 @@ def image_headers(t: Tables) -> DataFrame:
         text(jfif, "FFE1", long_other(2), other, "FFC20011"),
     ]
     return images(t).select("image_id", F.unhex(F.element_at(F.array(*kinds), (F.col("image_id") % 5 + 1).cast("int"))).alias("content"))
+
+
+def loose_answers(t: Tables) -> DataFrame:
+    """Answers that JSON readers take or refuse: bare numbers, repeated keys, text behind the value."""
+    at = "CAST((o_orderkey % 90) / 100 AS DECIMAL(4, 2))"
+    box = f'"xmin": {{0}}, "ymin": \', {at}, \', "xmax": {{1}}, "ymax": Infinity'
+    kinds = [
+        '{"boxes": [{"label": "NaN, \\\\"Infinity", ' + box.format("-Infinity", "NaN") + ', "confidence": NaN}]}',
+        '{"boxes": [], "boxes": [{"label": "a", "label": "b", "xmin": 0.9, ' + box.format("0.25", "0.5") + "}]}",
+        '{"boxes": [{"label": "c", ' + box.format("0", "1") + "}]} and more",
+        '{"tracks": [{"track_id": "1", "label": "d", "frame_id": NaN}]}',
+    ]
+    texts = ", ".join(f"concat('{k}')" for k in kinds)
+    return t.orders.selectExpr("o_orderkey AS image_id", f"element_at(array({texts}), cast(o_orderkey % 4 AS int) + 1) AS raw_text")

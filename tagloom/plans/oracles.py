@@ -442,14 +442,15 @@ SELECT image_name AS image, status, source_model, 'mini-vision' AS low_model, 'p
   'object_detection' AS task_type, n_boxes AS objects, 0::BIGINT AS classifications, n_boxes AS boxes, 0::BIGINT AS segments,
   0::BIGINT AS poses, 0::BIGINT AS texts, 0::BIGINT AS tracks, low_attempts::BIGINT AS low_api_attempts,
   high_attempts::BIGINT AS high_api_attempts, consistency_score, mean_confidence, uncertainty_score, reliability,
+  low_attempts * 0.5::DOUBLE + high_attempts * 2.0::DOUBLE AS elapsed_sec,
   concat('/data/labeled/', {_STEM}, '.txt') AS label_path, {_PATHS} AS label_paths,
   concat('/data/visualized/vis_', image_name) AS visualization_path
 FROM final JOIN ({IMAGES}) USING (image_id)""",
     "efficiency_report": f"""{_RUN},
 t AS (SELECT count(*) AS n, sum(n_boxes)::BIGINT AS o, count_if(status = 'Escalated') AS e, sum(low_attempts)::BIGINT AS la,
-  sum(high_attempts)::BIGINT AS ha FROM final)
-SELECT n AS n_images, 0::BIGINT AS failed, o AS total_objects, n * 45.0::DOUBLE AS manual_seconds, n * 4.0::DOUBLE AS total_seconds,
-  round((n * 45.0 - n * 4.0)::DOUBLE / (n * 45.0)::DOUBLE * 100, 6) AS time_saved_pct, la AS low_api_attempts, ha AS high_api_attempts,
+  sum(high_attempts)::BIGINT AS ha, sum(low_attempts) * 0.5::DOUBLE + sum(high_attempts) * 2.0::DOUBLE AS s FROM final)
+SELECT n AS n_images, 0::BIGINT AS failed, o AS total_objects, n * 45.0::DOUBLE AS manual_seconds, s AS total_seconds,
+  round((n * 45.0::DOUBLE - s) / (n * 45.0::DOUBLE) * 100, 6) AS time_saved_pct, la AS low_api_attempts, ha AS high_api_attempts,
   n - e AS low_only, e AS escalated, round((n - e) / n * 100, 6) AS cost_saved_pct FROM t""",
     "answer_outcomes": f"""SELECT image_id, run, image_id % 8 <> 6 AS parse_ok, image_id % 8 <> 7 AS ok, coalesce(n, 0) AS n_boxes
 FROM ({_ORDERS}) CROSS JOIN (VALUES (0), (1), (2)) runs(run)
@@ -479,6 +480,14 @@ FROM documents WHERE text <> ''""",
   CAST((event_id * 11) % 800 + 100 AS DOUBLE) / 1000 AS ymax, CAST(event_id % 100 AS DOUBLE) / 100 AS confidence
 FROM events WHERE user_id <> 0) WHERE xmin < xmax AND ymin < ymax""",
     "answer_bodies": "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents",
+    "loose_answers": """SELECT image_id, k <> 2 AS parse_ok, k <> 3 AS ok, CASE k WHEN 0 THEN 'NaN, "Infinity' WHEN 1 THEN 'b' END AS label,
+  CASE k WHEN 0 THEN 0::DOUBLE WHEN 1 THEN 0.25::DOUBLE END AS xmin, CASE WHEN k < 2 THEN round(image_id % 90 / 100.0, 6)::DOUBLE END AS ymin,
+  CASE k WHEN 0 THEN 1::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS xmax, CASE WHEN k < 2 THEN 1::DOUBLE END AS ymax,
+  CASE WHEN k < 2 THEN 1::DOUBLE END AS confidence
+FROM (SELECT o_orderkey AS image_id, o_orderkey % 4 AS k FROM orders)""",
+    "six_decimals": """SELECT image_id, printf('%.6f', h) AS half, printf('%.6f', h * (1 + pow(2::DOUBLE, -52))) AS above,
+  printf('%.6f', h * (1 - pow(2::DOUBLE, -53))) AS below, printf('%.6f', h * 3 - 1) AS far
+FROM (SELECT o_orderkey AS image_id, ((o_orderkey % 1000000)::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS h FROM orders)""",
     "scaled_numbers": """SELECT event_id, round(greatest(0, least(1, CASE WHEN value > 1 THEN value / 1000 ELSE value END)), 6) AS coordinate,
   round(greatest(0, least(1, CASE WHEN value > 1 THEN value / 100 ELSE value END)), 6) AS confidence,
   round(greatest(0, least(1, CASE WHEN value / 100 > 1 THEN value / 100 / 1000 ELSE value / 100 END)), 8) AS unit_coordinate

@@ -142,8 +142,8 @@ def cascade_status(t: Tables) -> DataFrame:
 
 def _labelled_run(t: Tables) -> labeling.Run:
     """The whole chain, with stand-ins that give the texts of the fixtures."""
-    low = labeling.Tier(LOW_MODEL, fixtures.draft_model)
-    high = labeling.Tier(HIGH_MODEL, fixtures.canned_model)
+    low = labeling.Tier(LOW_MODEL, fixtures.timed(fixtures.draft_model, 0.5))
+    high = labeling.Tier(HIGH_MODEL, fixtures.timed(fixtures.canned_model, 2.0))
     options = labeling.Options(backoff_seconds=0.0, batch_size=4096)
     # stored, as real image tables are: each attempt and tier reads the requests again
     return labeling.label_images(stage(fixtures.run_images(t), "run-images"), low, high, options)
@@ -180,6 +180,7 @@ def run_metrics(t: Tables) -> DataFrame:
         _r("mean_confidence"),
         _r("uncertainty_score"),
         _r("reliability"),
+        _r("elapsed_sec"),
         "label_path",
         "label_paths",
         "visualization_path",
@@ -189,8 +190,7 @@ def run_metrics(t: Tables) -> DataFrame:
 @query
 def efficiency_report(t: Tables) -> DataFrame:
     run = _labelled_run(t)
-    records = labeling.metrics(run, OUT, VIS).withColumn("elapsed_sec", F.lit(4.0))
-    report = metrics.efficiency_report(run.images, records)
+    report = metrics.efficiency_report(run.images, labeling.metrics(run, OUT, VIS))
     return report.select(
         "n_images",
         "failed",
@@ -292,6 +292,20 @@ def answer_bodies(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", wrapped.alias("answer")).select("doc_id", answer_json_text("answer").alias("body"))
 
 
+@query
+def loose_answers(t: Tables) -> DataFrame:
+    parsed = parse_answers(fixtures.loose_answers(t))
+    return parsed.select("image_id", "parse_ok", "ok", F.inline_outer("boxes")).select("image_id", "parse_ok", "ok", "label", *_corners("confidence"))
+
+
+@query
+def six_decimals(t: Tables) -> DataFrame:
+    """Numbers halfway between two steps of six decimals, as near as a double gets, and their neighbours."""
+    half = (F.col("o_orderkey") % 1000000 + 0.5) / 1e6
+    numbers = {"half": half, "above": half * (1 + 2.0**-52), "below": half * (1 - 2.0**-53), "far": half * 3 - 1}
+    return t.orders.select(F.col("o_orderkey").alias("image_id"), *[V.fixed(number.cast("double"), 6).alias(name) for name, number in numbers.items()])
+
+
 @query
 def scaled_numbers(t: Tables) -> DataFrame:
     return t.events.select(
