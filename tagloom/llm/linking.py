@@ -10,6 +10,7 @@ Both 4/5 thresholds are exact in integers: a link has 5 * shared >= 4 * all.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,7 @@ def linked_groups(
     positional: bool,
     prepare: Callable[[DataFrame], None] | None = None,
     both_ways: bool = False,
+    bits: int = MARKS,
 ) -> DataFrame:
     """Components (id, component) of the links among members of each list.
 
@@ -126,7 +128,7 @@ def linked_groups(
     links = near.where(_is_link())
     groups = components(links.select("a", "b"))
 
-    known = near.select(F.col("a").alias("lead_id"), F.col("b").alias("id"), F.col("n_b").alias("exact"), "shared", "marks")
+    known = near.select(F.col("a").alias("lead_id"), F.col("b").alias("id"), F.col("n_b").alias("exact"), F.col("shared").alias("has"), "marks")
     member_rows = (
         shared.select("key", "id", "size", "pos", F.col("lead.id").alias("lead_id"))
         .join(groups, "id", "left")
@@ -138,15 +140,20 @@ def linked_groups(
     x = rest.where("component <> low").select(*[F.col(c).alias(f"x_{c}") for c in rest.columns])
     y = rest.select(*[F.col(c).alias(f"y_{c}") for c in rest.columns])
     place = (F.col("x_pos"), F.col("y_pos")) if positional else (None, None)
+    same_lead = F.col("x_lead_id") == F.col("y_lead_id")
+    common = F.least("x_has", "y_has") + F.least(F.col("x_exact") - F.col("x_has"), F.col("y_exact") - F.col("y_has"))
     open_pairs = x.join(
         y,
         (F.col("x_key") == F.col("y_key"))
         & (F.col("x_component") != F.col("y_component"))
         & ((F.col("y_component") == F.col("y_low")) | (F.col("x_id") < F.col("y_id")))
         & _possible(F.col("x_size"), F.col("y_size"), *place)
+        & F.coalesce(F.least("x_exact", "y_exact") * BELOW >= F.greatest("x_exact", "y_exact") * ABOVE, F.lit(True))
         & (F.col("x_id") != F.col("y_lead_id"))  # a leader is compared with its list already
         & (F.col("y_id") != F.col("x_lead_id"))
-        & ~F.coalesce((F.col("x_lead_id") == F.col("y_lead_id")) & _apart(both_ways), F.lit(False)),
+        & ~F.coalesce(same_lead & (common * (ABOVE + BELOW) < (F.col("x_exact") + F.col("y_exact")) * ABOVE), F.lit(False))
+        & ~F.coalesce(same_lead & _apart(bits // 64, both_ways), F.lit(False))
+        & F.forall(F.array("x_id"), lambda x: x.isNotNull()),  # always true; see _apart
     ).select(
         F.least("x_id", "y_id").alias("a"),
         F.greatest("x_id", "y_id").alias("b"),
@@ -154,48 +161,61 @@ def linked_groups(
         F.when(F.col("x_id") < F.col("y_id"), F.col("y_size")).otherwise(F.col("x_size")).alias("n_b"),
     ).distinct()
     done = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = stage(verify(open_pairs.join(done, ["a", "b"], "left_anti"), False).where(_is_link()).select("a", "b"), "late")
+    # written first: few as a rule, and then their texts are found without shuffling all texts again
+    left = stage(open_pairs.join(done, ["a", "b"], "left_anti"), "open")
+    late = stage(verify(left, False).where(_is_link()).select("a", "b"), "late")
     if late.isEmpty():
         return groups
-    return components(links.select("a", "b").union(late))
+    return _merged(groups, late)
 
 
-def _only(first: int) -> tuple[Column, Column]:
-    """Marks that x has and y lacks, and the reverse, among those from place ``first`` on."""
-    only_x, only_y = F.lit(0), F.lit(0)
-    for i in range(first, first + MARKS // 64):
-        x, y = F.get("x_marks", F.lit(i)), F.get("y_marks", F.lit(i))
-        only_x = only_x + F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
-        only_y = only_y + F.bit_count(y.bitwiseAND(F.bitwise_not(x)))
-    return only_x, only_y
+def _merged(groups: DataFrame, late: DataFrame) -> DataFrame:
+    """``groups`` (id, component) with the links ``late`` added: only the components they touch are joined anew."""
+    name = lambda end: F.coalesce(f"component_{end}", end).alias(end)
+    for end in "ab":
+        late = late.join(groups.toDF(end, f"component_{end}"), end, "left")
+    ends = stage(late.select(name("a"), name("b"), F.col("a").alias("id_a"), F.col("b").alias("id_b"), "component_a", "component_b"), "late-ends")
+    merged = components(ends.select("a", "b")).toDF("component", "least")
+    alone = [ends.where(f"component_{e} is null").select(F.col(f"id_{e}").alias("id"), F.col(f"id_{e}").alias("component")) for e in "ab"]
+    every = groups.union(alone[0].union(alone[1]).distinct())
+    # a component's least id may be that of another now: both names are ids, so the least of them is the name
+    return stage(every.join(merged, "component", "left").select("id", F.coalesce("least", "component").alias("component")), "components")
 
 
-def _apart(both_ways: bool) -> Column:
+def _apart(words: int, both_ways: bool) -> Column:
     """Two members can't be a link if what both have of their leader, and what their marks outside it leave, is too little.
 
     Every mark only one of them has is at least one element that isn't shared; so is every mark of the leader's elements
-    that only one of them lacks.
+    that only one of them lacks. The test is long: as part of one generated method for a whole stage the JVM would never compile
+    it. A lambda in the same join condition keeps the join out of whole-stage code, so that the test is split into small methods.
     """
-    only_x, only_y = _only(0)
-    lost_x, lost_y = _only(MARKS // 64) if both_ways else (F.lit(0), F.lit(0))
-    inside = F.least(F.col("x_shared") - lost_y, F.col("y_shared") - lost_x)
-    outside = F.least(F.col("x_exact") - F.col("x_shared") - only_x, F.col("y_exact") - F.col("y_shared") - only_y)
+
+    def only(first: int) -> tuple[Column, Column]:
+        marks = [(F.get("x_marks", F.lit(i)), F.get("y_marks", F.lit(i))) for i in range(first, first + words)]
+        return tuple(
+            reduce(Column.__add__, [F.bit_count(p.bitwiseAND(F.bitwise_not(q))) for p, q in pairs]) for pairs in (marks, [(y, x) for x, y in marks])
+        )
+
+    only_x, only_y = only(0)
+    lost_x, lost_y = only(words) if both_ways else (F.lit(0), F.lit(0))
+    inside = F.least(F.col("x_has") - lost_y, F.col("y_has") - lost_x)
+    outside = F.least(F.col("x_exact") - F.col("x_has") - only_x, F.col("y_exact") - F.col("y_has") - only_y)
     return (inside + outside) * (ABOVE + BELOW) < (F.col("x_exact") + F.col("y_exact")) * ABOVE
 
 
-def marks(hashes: np.ndarray) -> list[int]:
-    """A bit for each of ``MARKS`` hash ranges in which a set has an element, as signed longs."""
-    bits = np.zeros(MARKS, dtype=np.uint8)
-    bits[(hashes & np.uint64(MARKS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+def marks(hashes: np.ndarray, bits: int = MARKS) -> list[int]:
+    """A bit for each of ``bits`` hash ranges in which a set has an element, as signed longs."""
+    flags = np.zeros(bits, dtype=np.uint8)
+    flags[(hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags).view(np.int64).tolist()
 
 
-def marks_both_ways(outside: np.ndarray, outside_rows: np.ndarray, lost: np.ndarray, lost_rows: np.ndarray, n_rows: int) -> pa.Array:
+def marks_both_ways(outside: np.ndarray, outside_rows: np.ndarray, lost: np.ndarray, lost_rows: np.ndarray, n_rows: int, bits: int = MARKS) -> pa.Array:
     """``marks`` of what each row has beside its leader, followed by those of what it lacks of its leader."""
-    bits = np.zeros((n_rows, 2 * MARKS), dtype=np.uint8)
-    bits[outside_rows, (outside & np.uint64(MARKS - 1)).astype(np.int64)] = 1
-    bits[lost_rows, (lost & np.uint64(MARKS - 1)).astype(np.int64) + MARKS] = 1
-    longs = np.packbits(bits, axis=1).view(np.int64)
+    flags = np.zeros((n_rows, 2 * bits), dtype=np.uint8)
+    flags[outside_rows, (outside & np.uint64(bits - 1)).astype(np.int64)] = 1
+    flags[lost_rows, (lost & np.uint64(bits - 1)).astype(np.int64) + bits] = 1
+    longs = np.packbits(flags, axis=1).view(np.int64)
     return pa.ListArray.from_arrays(np.arange(n_rows + 1, dtype=np.int32) * longs.shape[1], longs.reshape(-1))
 
 

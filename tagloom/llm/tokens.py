@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm import textvec
+from tagloom.plans.stages import stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Lengths whose sums go to one task
-BLOCK = 4096
+BLOCK = 256
 _ENCODERS: dict = {}
 
 
@@ -49,8 +50,11 @@ def length_histogram(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
 
 
 def limits(histogram: DataFrame) -> DataFrame:
-    """Suffix sums of a histogram (length, n_docs), in blocks of lengths, so that no task sees all of a long one."""
-    rows = histogram.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    """Suffix sums of a histogram (length, n_docs), in blocks of lengths, so that no task sees all of a long one.
+
+    The histogram is stored first, as it is read twice: texts are encoded once.
+    """
+    rows = stage(histogram, "lengths").withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     sums = rows.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
