@@ -534,6 +534,7 @@ FROM (SELECT image_id, {_STEM} AS s FROM ({IMAGES}))""",
     "detection_eval": _evaluation(),
     "detection_eval_all_images": _evaluation(all_images=True),
     "detection_eval_by_class": _evaluation("class_id"),
+    "folder_evaluation": _evaluation(),
     "detection_matches": f"{_MATCHED} SELECT image_id, left_ix, right_ix, round(iou, 6) AS iou FROM matched",
     "missed_truth": f"""{_MATCHED} SELECT t.image_id, t.item_ix, t.class_id, {_BOX6} FROM ({TRUTH}) t
 WHERE image_id IN (SELECT image_id FROM ({PREDICTED}))

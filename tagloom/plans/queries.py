@@ -17,7 +17,7 @@ from tagloom.plans import fixtures, labeling
 from tagloom.plans.fixtures import HIGH_MODEL, LOW_MODEL, RUNS, Tables
 from tagloom.plans.stages import stage, stage_root
 from tagloom.schemas import CORNERS, KINDS
-from tagloom.sinks import documents
+from tagloom.sinks import documents, files
 from tagloom.sources import headers, yolo
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -577,6 +577,18 @@ def detection_eval_by_class(t: Tables) -> DataFrame:
     return _rounded_evaluation(evaluate.evaluation(_outcomes(t), ["class_id"]), "class_id")
 
 
+@query
+def folder_evaluation(t: Tables) -> DataFrame:
+    """Predictions and truth written as label files with blanks, ``%`` and other signs in their names, read again and compared."""
+    root = f"{stage_root(t.spark)}/label-folders-{uuid.uuid4().hex}"
+    for role, boxes in (("predicted", fixtures.predicted_boxes(t)), ("truth", fixtures.truth_boxes(t))):
+        line = F.struct("item_ix", documents.yolo_line({c: F.col(c) for c in CORNERS}, F.col("class_id")).alias("line"))
+        lines = F.transform(F.sort_array(F.collect_list(line)), lambda x: F.concat(x["line"], F.lit("\n")))
+        name = F.concat(F.lit("img "), F.col("image_id"), F.lit(" 100%25+é.txt")).alias("file_name")
+        files.write_label_files(boxes.groupBy("image_id").agg(F.array_join(lines, "").alias("content")).select(name, "content"), f"{root}/{role}")
+    return _rounded_evaluation(labeling.evaluate_folders(t.spark, f"{root}/predicted", f"{root}/truth"))
+
+
 @query
 def detection_matches(t: Tables) -> DataFrame:
     return evaluate.match_detections(*_stored_sides(t)).select(

@@ -1,8 +1,12 @@
 import json
+import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.functions.answers import parse_answers
+from tagloom.functions.values import fixed
 from tagloom.schemas import KINDS
 
 BOX = '{"label": "a", "xmin": 0.1, "ymin": 0.2, "xmax": 0.5, "ymax": 0.6, "confidence": 0.9}'
@@ -144,3 +148,29 @@ def test_schema_is_the_declared_one(spark):
     df = parse_answers(spark.createDataFrame([("{}",)], "raw_text string"))
     for kind, item in KINDS.items():
         assert df.schema[kind].dataType.elementType.simpleString() == item.replace("struct<", "struct<"), kind
+
+
+def test_loose_json(spark):
+    """NaN and Infinity outside texts, the last of repeated keys; broken tokens and trailing text stay unreadable."""
+    box = '"ymin": 0, "ymax": 1}'
+    rows = [
+        ('{"boxes": [{"label": "NaN \\\\" -Infinity", "xmin": -Infinity, "xmax": NaN, ' + box + "]}", True, True, [('NaN " -Infinity', 0.0, 1.0)]),
+        ('{"boxes": [{"label": "a", "xmin": 0.5, "xmin": 0.25, "xmax": Infinity, ' + box + ']}', True, True, [("a", 0.25, 1.0)]),
+        ('{"boxes": 5, "boxes": []}', True, True, []),
+        ('{"boxes": [{"label": "a", "xmin": NaNs, ' + box + "]}", False, True, []),
+        ('{"boxes": []} NaN', False, True, []),
+        ('{"tracks": [{"track_id": "t", "label": "x", "frame_id": Infinity}]}', True, False, []),
+        ('{"boxes": [{"label": "' + "N I " * 3000 + '", "xmin": NaN, ' + box + "]}", True, True, []),
+    ]
+    df = spark.createDataFrame([(n, r[0]) for n, r in enumerate(rows)], "n int, raw_text string")
+    got = {r.n: (r.parse_ok, r.ok, [(b.label, b.xmin, b.xmax) for b in r.boxes]) for r in parse_answers(df).collect()}
+    assert got == {n: r[1:] for n, r in enumerate(rows)}
+
+
+def test_fixed_decimals_of_the_exact_value(spark):
+    rng = random.Random(3)
+    halves = [(rng.randint(0, 10**6) + 0.5) / 1e6 for _ in range(3000)]
+    numbers = [x for h in halves for x in (h, math.nextafter(h, 2), math.nextafter(h, -1))]
+    numbers += [0.1234565, 5e-7, -5e-7, 2.5e-7, 0.0, 1.0, -3.1234565, 123456.0000005, 1 / 128, 3 / 2**21, 7e9 + 0.5, rng.random()]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", fixed(F.col("x"), 6).alias("t")).collect()
+    assert [r.t for r in rows] == [f"{r.x:.6f}" for r in rows]
