@@ -154,7 +154,7 @@ def test_loose_json(spark):
     """NaN and Infinity outside texts, the last of repeated keys; broken tokens and trailing text stay unreadable."""
     box = '"ymin": 0, "ymax": 1}'
     rows = [
-        ('{"boxes": [{"label": "NaN \\\\" -Infinity", "xmin": -Infinity, "xmax": NaN, ' + box + "]}", True, True, [('NaN " -Infinity', 0.0, 1.0)]),
+        ('{"boxes": [{"label": "NaN \\" -Infinity", "xmin": -Infinity, "xmax": NaN, ' + box + "]}", True, True, [('NaN " -Infinity', 0.0, 1.0)]),
         ('{"boxes": [{"label": "a", "xmin": 0.5, "xmin": 0.25, "xmax": Infinity, ' + box + ']}', True, True, [("a", 0.25, 1.0)]),
         ('{"boxes": 5, "boxes": []}', True, True, []),
         ('{"boxes": [{"label": "a", "xmin": NaNs, ' + box + "]}", False, True, []),

@@ -379,6 +379,17 @@ def test_templates_are_checked_first(spark):
             documents.compile_template(bad)
 
 
+def test_empty_prediction_files_count(spark, tmp_path):
+    """An image for which nothing was predicted has an empty file: its truth is missed, unlike that of an image without a file."""
+    for role, found in {"pred": {"a b.txt": "", "c%20.txt": "1 0.5 0.5 0.2 0.2\n"}, "true": {"a b.txt": "0 0.5 0.5 0.2 0.2", "c%20.txt": "1 0.5 0.5 0.2 0.2", "d.txt": "0 0.5 0.5 1 1"}}.items():
+        (tmp_path / role).mkdir()
+        for name, text in found.items():
+            (tmp_path / role / name).write_text(text)
+    row = labeling.evaluate_folders(spark, str(tmp_path / "pred"), str(tmp_path / "true")).first()
+    assert (row.true_positive, row.false_positive, row.false_negative) == (1, 0, 1)
+    assert {r.file_stem for r in yolo.label_files(spark, str(tmp_path / "pred")).collect()} == {"a b", "c%20"}
+
+
 def test_shared_file_names_are_refused(spark, tmp_path):
     twins = spark.createDataFrame([("a.txt", "1"), ("a.txt", "2")], "file_name string, content string")
     with pytest.raises(ValueError):
