@@ -1,5 +1,7 @@
 """Table schemas. Every nested label kind is an array of structs; nothing is inferred."""
 
+# Member, kind, task and column names are those of the label files and records they stand for.
+
 CLASSIFICATION = "struct<label:string,confidence:double>"
 BOX = "struct<label:string,xmin:double,ymin:double,xmax:double,ymax:double,confidence:double>"
 POINT = "struct<x:double,y:double>"
