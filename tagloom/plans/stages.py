@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,28 @@ def stage_root(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders made in the scopes that are open, the innermost last
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Stage tables made inside are removed at its end, also after a failure: write out what is to stay before.
+
+    ``with stage_scope(spark): labeling.export(labeling.label_images(...), folder)``
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for folder in made:
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet stage table and read it back with its lineage cut.
 
@@ -31,5 +55,8 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     target = path or f"{stage_root(spark)}/tagloom/{name}-{uuid.uuid4().hex}"
+    if path is None:
+        for made in _SCOPES[-1:]:
+            made.append(target)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)

@@ -390,6 +390,24 @@ def test_empty_prediction_files_count(spark, tmp_path):
     assert {r.file_stem for r in yolo.label_files(spark, str(tmp_path / "pred")).collect()} == {"a b", "c%20"}
 
 
+def test_stage_tables_go_at_the_end_of_their_scope(spark):
+    from tagloom.plans.stages import stage, stage_root, stage_scope
+
+    folder = pathlib.Path(stage_root(spark).removeprefix("file:")) / "tagloom"
+    stage(spark.range(3), "kept").count()
+    before = set(folder.iterdir())
+    with stage_scope(spark):
+        assert stage(spark.range(3), "inside").count() == 3 and len(set(folder.iterdir()) - before) == 1
+        with stage_scope(spark):
+            stage(spark.range(2), "deeper")
+        assert len(set(folder.iterdir()) - before) == 1
+    assert set(folder.iterdir()) == before
+    with pytest.raises(ZeroDivisionError), stage_scope(spark):
+        stage(spark.range(3), "failing")
+        1 / 0
+    assert set(folder.iterdir()) == before
+
+
 def test_shared_file_names_are_refused(spark, tmp_path):
     twins = spark.createDataFrame([("a.txt", "1"), ("a.txt", "2")], "file_name string, content string")
     with pytest.raises(ValueError):
