@@ -101,7 +101,7 @@ def fixed(value: Column, decimals: int) -> Column:
         near = (F.abs(size - F.floor(size) - 0.5) < 1e-3) & (size < 2.0**40)
         return F.when(near, exact(v)).otherwise(F.format_string(f"%.{decimals}f", v))
 
-    return F.get(F.transform(F.array(value.cast("double")), text), 0)
+    return text(value.cast("double"))
 
 
 def plain_number(value: Column) -> Column:
