@@ -99,7 +99,7 @@ def fixed(value: Column, decimals: int) -> Column:
     def text(v: Column) -> Column:
         size = F.abs(v) * F.lit(scale)
         near = (F.abs(size - F.floor(size) - 0.5) < 1e-3) & (size < 2.0**40)
-        return F.when(near, exact(v)).otherwise(F.format_string(f"%.{decimals}f", v))
+        return F.when(near, F.get(F.transform(F.array(v), exact), 0)).otherwise(F.format_string(f"%.{decimals}f", v))
 
     return text(value.cast("double"))
 
