@@ -174,3 +174,30 @@ def test_fixed_decimals_of_the_exact_value(spark):
     numbers += [0.1234565, 5e-7, -5e-7, 2.5e-7, 0.0, 1.0, -3.1234565, 123456.0000005, 1 / 128, 3 / 2**21, 7e9 + 0.5, rng.random()]
     rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", fixed(F.col("x"), 6).alias("t")).collect()
     assert [r.t for r in rows] == [f"{r.x:.6f}" for r in rows]
+
+
+PLAIN = [
+    boxes(BOX, '{"label": "b", "xmin": 100, "ymin": "200", "xmax": "0.5", "ymax": 600}', '{"label": "", "xmin": 0.1}', '{"xmin": 0.1}'),
+    boxes('{"label": "7 cars", "xmin": null}'),
+    '{"tracks": [{"track_id": 17, "frame_id": "4", "label": "a"}], "texts": [{"text": "a \\"null\\" text"}]}',
+    '{"poses": [{"keypoints": [{"name": "nose", "x": 3, "visible": false}, {"name": ""}]}, {"keypoints": []}], "other": [1, {"a": null}]}',
+    '{"segments": [{"label": "s", "polygon": [{"x": 1, "y": 2}, {"x": 0.3}, {}]}], "classifications": [{"label": "1-URGENT"}]}',
+    "{}",
+]
+ODD = [
+    boxes('{"label": 7}'), boxes('{"label": "7"}'), boxes('{"label": true}'), boxes('{"label": 1e400}'), boxes('{"label": "#null"}'), boxes('{"label": null}'),
+    boxes('{"xmin": true, "label": "a"}'), boxes('{"xmin": "x", "label": "a"}'), boxes('{"label": ["a"]}'), '{"boxes": null}', '{"boxes": ""}', '{"boxes": {}}',
+    boxes(BOX) + ',"z":"#end"}', "{'boxes': []}", boxes('{"label": "a", "xmax": NaN}'), '{"tracks": [{"track_id": 0, "label": "a"}]}',
+]
+
+
+@pytest.mark.parametrize("text", PLAIN + ODD)
+def test_plain_answers_are_read_in_one_pass_with_the_same_result(spark, text):
+    from tagloom.functions import answers
+
+    body = answers._body_sql("raw_text")
+    df = spark.createDataFrame([(text,)], "raw_text string")
+    plain_one = answers._let("body", body, answers._plain_sql("body"))
+    any_one = answers._let("body", body, answers._any_sql("body"))
+    row = df.selectExpr(f"to_json({plain_one}) AS plain", f"to_json({any_one}) AS whole").first()
+    assert row.plain == row.whole if text in PLAIN else row.plain in (None, row.whole)
