@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tagloom.functions.geometry import MATCHES, greedy_match_sql
-from tagloom.operators import consistency, matching
+from tagloom.operators import consistency, evaluate, groups, matching
 from tagloom.operators.groups import rank_in_group
 from tagloom.schemas import KINDS
 
@@ -257,3 +257,52 @@ def test_fold_matches_like_the_rule(spark, seed, threshold):
     got = [(row.l[m.left_pos].item_ix, row.r[m.right_pos].item_ix, round(m.iou, 9)) for m in row.m]
     assert got == [(a, b, round(v, 9)) for a, b, v in brute.match(as_dicts(left), as_dicts(right), threshold)]
     assert len({b for _, b, _ in got}) == len(got)
+
+
+def _plain_outcomes(predicted, truth, listed, every):
+    """tp, fp, fn and the sum of IoU by (image, class), as a loop counts them."""
+    out = {}
+    for image, kind in {(b["image_id"], b["class_id"]) for b in predicted + truth}:
+        mine = [[{**b, "label": kind} for b in side if (b["image_id"], b["class_id"]) == (image, kind)] for side in (predicted, truth)]
+        found = brute.match(*mine)
+        n_true = len(mine[1]) if every or (image is not None and image in listed) else 0
+        if mine[0] or n_true:
+            out[image, kind] = (len(found), len(mine[0]) - len(found), n_true - len(found), round(sum(f[2] for f in found), 9))
+    return out
+
+
+@pytest.mark.parametrize("limit", [3, 512])
+def test_outcomes_are_counted_in_tasks_of_a_bounded_number_of_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(evaluate, "TASK_ROWS", 20)
+    schema = "image_id bigint, class_id int, item_ix bigint, xmin double, ymin double, xmax double, ymax double"
+    rng = random.Random(5)
+
+    def side(images):
+        rows = []
+        for n in range(200):
+            x, y = rng.randint(0, 3) / 10, rng.randint(0, 3) / 10
+            rows.append({"image_id": rng.choice(images), "class_id": rng.choice([0, 1, 2]), "item_ix": n, "xmin": x, "ymin": y, "xmax": x + 0.5, "ymax": y + 0.4})
+        return rows
+
+    predicted, truth = side([*range(20), None]), side([*range(10, 40), None])
+    tables = [spark.createDataFrame([tuple(r.values()) for r in rows], schema) for rows in (predicted, truth)]
+    names = {b["image_id"] for b in predicted}
+    files = {3, 12, 15, 35}
+    listing = spark.createDataFrame([(i,) for i in files], "image_id bigint")
+    for listed, options in ((names, {}), (names, {"count_unpredicted_images": True}), (files, {"predicted_images": listing}))[:: 2 if limit == 3 else 1]:
+        got = evaluate.detection_outcomes(*tables, limit=limit, **options)
+        rows = {(r.image_id, r.class_id): (r.tp, r.fp, r.fn, round(r.iou_sum, 9)) for r in got.collect()}
+        assert rows == _plain_outcomes(predicted, truth, listed, "count_unpredicted_images" in options)
+    # no join of boxes, and as many tasks as the rows ask for, however well they compress
+    plan = evaluate.detection_outcomes(*tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
+    assert evaluate.detection_outcomes(*tables).rdd.getNumPartitions() == 20
+
+
+def test_large_groups_are_found_in_tasks_of_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(groups, "_BLOCK", 7)
+    df = spark.range(100).selectExpr("id % 3 AS k", "id AS item_ix").unionByName(spark.range(5).selectExpr("9L AS k", "id * 1000 AS item_ix"))
+    df = df.unionByName(spark.range(4).selectExpr("CAST(null AS BIGINT) AS k", "id AS item_ix"))
+    cold, hot = groups.split_hot(df, ["k"], 5, task_rows=10)
+    assert {r.k for r in hot.collect()} == {0, 1, 2}
+    assert sorted(str(r.k) for r in cold.collect()) == ["9"] * 5 + ["None"] * 4
