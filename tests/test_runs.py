@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import cascade, inference
+from tagloom.functions.values import fixed
 from tagloom.operators.ids import dense_ids
 from tagloom.plans import labeling
 from tagloom.schemas import RUN_METRICS_COLUMNS
@@ -514,3 +515,21 @@ def test_images_arrive(spark, folder, tmp_path):
         assert {r.image_name for r in spark.table("arrived").collect()} == {"a.png", "b.PNG", "c.png", "broken.png"}
     finally:
         query.stop()
+
+
+def test_a_label_line_is_made_and_read_once(spark):
+    line = F.format_string("0 0.5 0.5 0.%d 0.2", F.col("id") + 1)
+    lines = spark.range(9).select("id", F.when(F.col("id") == 4, F.lit("0 0.5 \t0.5 0.2 0.2")).when(F.col("id") == 5, F.lit("0  1")).otherwise(line).alias("line"))
+    boxes, broken = yolo.parse_label_lines(lines)
+    plan = boxes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") == 1
+    assert sorted(r.id for r in boxes.collect()) == [0, 1, 2, 3, 4, 6, 7, 8] and broken.count() == 0
+
+
+def test_decimals_that_round_plainly_are_not_formatted(spark):
+    numbers = [0.1, 0.25, 1.0, 0.999999, 0.9999996, 1e-7, 4.9e-7, -0.3, -1e-7, 0.0, -0.0, 2.0**20 + 0.3, 1e12, -1e15, float("nan"), float("inf"), None]
+    rows = spark.createDataFrame([(n, x) for n, x in enumerate(numbers)], "n int, x double").select("n", fixed(F.col("x"), 6).alias("t"))
+    java = {float("inf"): "Infinity", None: "null"}
+    want = ["NaN" if x != x else java[x] if x in java else f"{x:.6f}" for x in numbers]
+    assert [r.t for r in sorted(rows.collect(), key=lambda r: r.n)] == want
+    assert rows._jdf.queryExecution().analyzed().toString().count("lpad(") > 1  # not only next to the middle of two steps
