@@ -14,7 +14,7 @@ from tagloom.functions.values import fixed
 from tagloom.operators.ids import dense_ids
 from tagloom.plans import labeling
 from tagloom.schemas import RUN_METRICS_COLUMNS
-from tagloom.sinks import documents, files
+from tagloom.sinks import answers, documents, files
 from tagloom.sinks.formats import file_extension, label_formats
 from tagloom.sources import images as image_source
 from tagloom.sources import yolo
@@ -533,3 +533,15 @@ def test_decimals_that_round_plainly_are_not_formatted(spark):
     want = ["NaN" if x != x else java[x] if x in java else f"{x:.6f}" for x in numbers]
     assert [r.t for r in sorted(rows.collect(), key=lambda r: r.n)] == want
     assert rows._jdf.queryExecution().analyzed().toString().count("lpad(") > 1  # not only next to the middle of two steps
+
+
+@pytest.mark.parametrize("repeats", [0, 1])
+def test_only_repeated_answers_are_sorted(spark, tmp_path, repeats):
+    rows = [(1, "a", 5.0, "p"), (2, "b", 6.0, "q"), (None, "c", 7.0, "r")] + [(1, "d", 4.0, "s"), (None, None, 3.0, "t")] * repeats
+    path = str(tmp_path / "log")
+    spark.createDataFrame(rows, "image_id bigint, raw_text string, answered_at double, piece string").write.parquet(path)
+    log = spark.read.parquet(path)
+    first = answers.first_where_repeated(log, ["image_id"], [F.col("raw_text").isNull()])
+    assert {(r.image_id, r.raw_text) for r in first.collect()} == {(1, "d" if repeats else "a"), (2, "b"), (None, "c")}
+    assert sorted(map(str, first.collect())) == sorted(map(str, answers.first_of_each(log, ["image_id"], [F.col("raw_text").isNull()]).collect()))
+    assert ("Exchange" in first._jdf.queryExecution().executedPlan().toString()) == bool(repeats)
