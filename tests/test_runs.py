@@ -9,11 +9,12 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import cascade, inference
+from tagloom.operators import cascade, consistency, inference, metrics
 from tagloom.functions.values import fixed
 from tagloom.operators.ids import dense_ids
 from tagloom.plans import labeling
-from tagloom.schemas import RUN_METRICS_COLUMNS
+from tagloom.plans.stages import stage
+from tagloom.schemas import KINDS, RUN_METRICS_COLUMNS
 from tagloom.sinks import answers, documents, files
 from tagloom.sinks.formats import file_extension, label_formats
 from tagloom.sources import images as image_source
@@ -545,3 +546,38 @@ def test_only_repeated_answers_are_sorted(spark, tmp_path, repeats):
     assert {(r.image_id, r.raw_text) for r in first.collect()} == {(1, "d" if repeats else "a"), (2, "b"), (None, "c")}
     assert sorted(map(str, first.collect())) == sorted(map(str, answers.first_of_each(log, ["image_id"], [F.col("raw_text").isNull()]).collect()))
     assert ("Exchange" in first._jdf.queryExecution().executedPlan().toString()) == bool(repeats)
+
+
+def test_only_failed_requests_are_looked_through_for_the_next_attempt(spark, monkeypatch):
+    stored = {}
+    monkeypatch.setattr(inference, "stage", lambda df, name: stored.setdefault(name, stage(df, name)))
+    keys = [(k, "low", 0) for k in range(40)] + [(7, "low", 0)]  # a request that stands twice
+    requests = spark.createDataFrame(keys, "image_id long, tier string, run int")
+
+    def factory():
+        return lambda batch: ["{}" if k % 4 != 3 or (k == 11 and a == 2) else TimeoutError("late") for k, a in zip(batch["image_id"], batch["attempt"])]
+
+    answers = inference.infer(requests, factory, backoff_seconds=0.0)
+    assert sorted(r.image_id for r in stored["requests-2"].collect()) == [3, 7, 7, *range(11, 40, 4)]
+    assert 11 not in {r.image_id for r in stored["requests-3"].collect()}
+    assert {r.image_id: r.attempts for r in answers.collect()} == {k: 1 if k % 4 != 3 else 2 if k == 11 else 3 for k in range(40)}
+
+
+def test_labels_are_counted_before_the_records_are_joined(spark):
+    kinds = ", ".join(f"CAST(array() AS array<{schema}>) AS {kind}" for kind, schema in KINDS.items())
+    rest = "concat(id, '.png') AS image_name, concat('/in/', id, '.png') AS image_path, 4 AS image_width, 'all' AS task_type, 'm' AS source_model"
+    scores = "'Consistent' AS status, 1D AS consistency_score, 0.5D AS mean_confidence, 0.5D AS uncertainty_score"
+    final = stage(spark.sql(f"SELECT id AS image_id, {rest}, {scores}, {kinds} FROM range(5)"), "final")
+    attempts = spark.sql("SELECT id AS image_id, 3L AS low_api_attempts, 0L AS high_api_attempts, 1.5D AS elapsed_sec FROM range(4)")
+    records = metrics.run_metrics(final, attempts, "low", "high", "/out", ["yolo"], "/vis")
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("size(boxes") > plan.index("Join")  # below it
+    assert sorted((r.image, r.objects, r.boxes, r.low_api_attempts) for r in records.collect()) == [(f"{n}.png", 0, 0, 3 if n < 4 else 0) for n in range(5)]
+
+
+def test_drafts_are_scored_in_tasks_of_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(consistency, "RESULT_ROWS", 10)
+    kinds = ", ".join(f"CAST(array() AS array<{schema}>) AS {kind}" for kind, schema in KINDS.items())
+    scored = consistency.score_results(stage(spark.sql(f"SELECT id DIV 3 AS image_id, CAST(id % 3 AS int) AS run, {kinds} FROM range(300)"), "results"))
+    assert scored.rdd.getNumPartitions() == 30
+    assert {(r.image_id, r.consistency_score) for r in scored.collect()} == {(n, 1.0) for n in range(100)}
