@@ -8,8 +8,9 @@ coordinate that is null or not a number, a label that is a list) makes the
 answer not ``ok`` and leaves it without labels. Items that are merely unusable
 (no label, an empty box, too few points) are dropped one by one.
 
-Most answers are plain: JSON whose members have the types asked for. These are read by ``from_json`` in one pass
-(:func:`_plain_sql`), which is several times faster; whatever it can't tell for sure is left to VARIANT. The result is the same.
+Most answers are plain: JSON whose members have the types asked for. These are read by ``from_json`` in one pass, which is
+several times faster: with numbers as numbers (:func:`_numeric_sql`), or, where some come as texts or null, with all members as texts
+(:func:`_plain_sql`). Whatever these can't tell for sure is left to VARIANT. The result is the same.
 
 The expressions are SQL text: one parse by the JVM instead of thousands of
 calls to build the same tree from Python.
@@ -27,8 +28,8 @@ _END = "#end"
 
 _FENCED = r"r'(?s)```json\s*(.*?)\s*```'"
 _SPACE = r"r'(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$'"
-# Begins and ends with a sign that is no space: nothing to strip.
-_STRIPPED = r"r'(?s)\A[!-~](?:.*[!-~])?\z'"
+# Begins and ends with a sign that is no space: nothing to strip. An object's text is known by its ends, without going through it.
+_STRIPPED = r"(startswith({0}, '{{') AND endswith({0}, '}}') OR rlike({0}, r'(?s)\A[!-~](?:.*[!-~])?\z'))"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -37,7 +38,7 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _strip(text: str) -> str:
-    return _let("t", text, f"CASE WHEN rlike(t, {_STRIPPED}) THEN t ELSE regexp_replace(t, {_SPACE}, '') END")
+    return _let("t", text, f"CASE WHEN {_STRIPPED.format('t')} THEN t ELSE regexp_replace(t, {_SPACE}, '') END")
 
 
 def _body_sql(text: str) -> str:
@@ -90,7 +91,7 @@ def parse_answers(responses: DataFrame, text_column: str = "raw_text") -> DataFr
 
 
 def _answer_sql(text: str) -> str:
-    return _let("body", _body_sql(text), f"coalesce({_plain_sql('body')}, {_any_sql('body')})")
+    return _let("body", _body_sql(text), f"coalesce({_numeric_sql('body')}, {_any_sql('body')})")
 
 
 def _any_sql(body: str) -> str:
@@ -119,6 +120,32 @@ def _any_sql(body: str) -> str:
 _NULL = "#null"
 _BEFORE_NULL = r"""((?:[^"n]++|"(?:[^"\\]++|\\.)*+"|n(?!ull))*+)"""
 _PLAIN_BYTES = 1_000_000
+_JSON_OPTIONS = "'mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_bad', 'allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false'"
+_NO_LABELS = {kind: f"CAST(array() AS array<{KINDS[kind]}>)" for kind in KINDS}
+
+
+def _plain_answer(ok: str, values: dict[str, str]) -> str:
+    members = ", ".join(f"'{kind}', {values[kind]}" for kind in KINDS)
+    return f"named_struct('parse_ok', true, 'ok', {ok}, {members})"
+
+
+def _numeric_sql(body: str) -> str:
+    """The answer if it is sure with its numbers read as numbers; null if it is for VARIANT; else that of :func:`_plain_sql`.
+
+    A missing number is the only null here: answers with the word aren't tried, to save time neither are those that begin a box with a
+    text for a number, and any other type makes ``from_json`` fill ``_bad``.
+    """
+    kinds = ", ".join(f"{kind}: array<struct<{_NUMERIC[kind][0]}>>" for kind in KINDS)
+    other = f"""octet_length({body}) > {_PLAIN_BYTES} OR contains({body}, '"xmin":"') OR contains({body}, 'null') OR contains({body}, '{_END}')"""
+    whole = f"""concat('{{"a":', {body}, ',"z":"{_END}"}}')"""
+    read = f"CASE WHEN NOT ({other}) THEN from_json({whole}, 'struct<a: struct<{kinds}>, z: string, _bad: string>', map({_JSON_OPTIONS})) END"
+    made = ", ".join(f"'{kind}', {_NUMERIC[kind][1].replace('{0}', f'typed.a.{kind}')}" for kind in KINDS)
+    sure = " AND ".join(f"coalesce(forall(made.{kind}, i -> {_NUMERIC[kind][2]}), true)" for kind in KINDS)
+    kept = {kind: f"coalesce(filter(made.{kind}, i -> coalesce({_NUMERIC[kind][3]}, false)), {_NO_LABELS[kind]})" for kind in KINDS}
+    kept = {kind: f"transform({kept[kind]}, i -> {_NUMERIC[kind][4]})" if _NUMERIC[kind][4] else kept[kind] for kind in KINDS}
+    good = _let("made", f"named_struct({made})", f"CASE WHEN {sure} THEN {_plain_answer('true', kept)} END")
+    fine = f"typed.z = '{_END}' AND typed._bad IS NULL AND typed.a IS NOT NULL"
+    return _let("typed", read, f"CASE WHEN {fine} THEN {good} ELSE {_plain_sql(body)} END")
 
 
 def _plain_sql(body: str) -> str:
@@ -128,17 +155,12 @@ def _plain_sql(body: str) -> str:
     something else (``_NOT_SURELY_TEXT``) is not. Any other type, repeated objects of different types or a broken end
     make ``from_json`` fill ``_bad``.
     """
-    options = "'mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_bad', 'allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false'"
     kinds = ", ".join(f"{kind}: array<struct<{_PLAIN[kind][0]}>>" for kind in KINDS)
     marked = rf"""CASE WHEN contains({body}, 'null') THEN regexp_replace({body}, r'(?s)\G{_BEFORE_NULL}null', '$1"{_NULL}"') ELSE {body} END"""
     own = f"octet_length({body}) > {_PLAIN_BYTES} OR contains({body}, '{_END}') OR contains({body}, '{_NULL}')"
     whole = f"""concat('{{"a":', {marked}, ',"z":"{_END}"}}')"""
-    read = f"CASE WHEN NOT ({own}) THEN from_json({whole}, 'struct<a: struct<{kinds}>, z: string, _bad: string>', map({options})) END"
-    none = {kind: f"CAST(array() AS array<{KINDS[kind]}>)" for kind in KINDS}
-
-    def answer(ok: str, values: dict[str, str]) -> str:
-        members = ", ".join(f"'{kind}', {values[kind]}" for kind in KINDS)
-        return f"named_struct('parse_ok', true, 'ok', {ok}, {members})"
+    read = f"CASE WHEN NOT ({own}) THEN from_json({whole}, 'struct<a: struct<{kinds}>, z: string, _bad: string>', map({_JSON_OPTIONS})) END"
+    none = _NO_LABELS
 
     nulls = " OR ".join(
         f"coalesce(exists(read.a.{kind}, i -> {' OR '.join(f"coalesce(i.{key} = '{_NULL}', false)" for key in keys)}), false)"
@@ -149,8 +171,8 @@ def _plain_sql(body: str) -> str:
     kept = {kind: f"coalesce(filter(made.{kind}, i -> coalesce({_PLAIN[kind][3]}, false)), {none[kind]})" for kind in KINDS}
     # the values of an item without what only the checks need
     kept = {kind: f"transform({kept[kind]}, i -> {_PLAIN[kind][4]})" if _PLAIN[kind][4] else kept[kind] for kind in KINDS}
-    good = _let("made", f"named_struct({made})", f"CASE WHEN {sure} THEN {answer('true', kept)} END")
-    judged = f"CASE WHEN contains({body}, 'null') AND ({nulls}) THEN {answer('false', none)} ELSE {good} END"
+    good = _let("made", f"named_struct({made})", f"CASE WHEN {sure} THEN {_plain_answer('true', kept)} END")
+    judged = f"CASE WHEN contains({body}, 'null') AND ({nulls}) THEN {_plain_answer('false', none)} ELSE {good} END"
     return _let("read", read, f"CASE WHEN read.z = '{_END}' AND read._bad IS NULL AND read.a IS NOT NULL THEN {judged} END")
 
 
@@ -468,3 +490,68 @@ _PLAIN: dict[str, tuple[str, str, str, str, str]] = {
         "",
     ),
 }
+
+
+# --- the same with numbers as numbers, in one pass: a missing one is the default, and none is unreadable ----------------------
+
+
+def _numeric_units(item: str, defaults: dict[str, float]) -> str:
+    def unit(key: str, default: float) -> str:
+        value = f"{item}.{key}"
+        return f"CASE WHEN {value} <= 1D THEN greatest(0D, {value}) WHEN {value} > 1D THEN least(1D, {value} / {100 if key == 'confidence' else 1000}D) ELSE {default}D END"
+
+    return ", ".join(f"{unit(key, default)} AS `{key}`" for key, default in defaults.items())
+
+
+def _numbers(defaults: dict[str, float]) -> str:
+    return ", ".join(f"{key}: double" for key in defaults)
+
+
+def _numeric_boxed(name: str, more: str = "") -> tuple[str, str, str, str, str]:
+    return (
+        f"{name}: string, {_numbers(_BOX)}",
+        f"transform({{0}}, t -> struct({more}t.{name} AS `{name}`, {_numeric_units('t', _BOX)}))",
+        _sure_text(f"i.{name}"),
+        f"i.{name} <> '' AND i.xmin < i.xmax AND i.ymin < i.ymax",
+        "",
+    )
+
+
+def _numeric_list(key: str, point: str) -> str:
+    return f"transform({{0}}, t -> struct(t.label AS label, coalesce(transform(t.{key}, q -> struct({point})), array()) AS {key}, {_numeric_units('t', _CONFIDENCE)}))"
+
+
+_numeric_track = _numeric_boxed("label", f"t.track_id AS track_id, {_FRAME}")
+
+_NUMERIC: dict[str, tuple[str, str, str, str, str]] = {
+    "classifications": (
+        "label: string, confidence: double",
+        f"transform({{0}}, t -> struct(t.label AS label, {_numeric_units('t', _CONFIDENCE)}))",
+        _sure_text("i.label"),
+        "i.label <> ''",
+        "",
+    ),
+    "boxes": _numeric_boxed("label"),
+    "segments": (
+        f"label: string, polygon: array<struct<{_numbers(_XY)}>>, confidence: double",
+        _numeric_list("polygon", _numeric_units("q", _XY)),
+        _sure_text("i.label"),
+        "i.label <> '' AND size(i.polygon) >= 3",
+        "",
+    ),
+    "poses": (
+        f"label: string, keypoints: array<struct<name: string, {_numbers(_KEY)}, visible: string>>, confidence: double",
+        _numeric_list("keypoints", f"q.name AS name, {_numeric_units('q', _XY)}, {_VISIBLE}, {_numeric_units('q', _CONFIDENCE)}"),
+        f"{_sure_text('i.label')} AND forall(i.keypoints, q -> q.visible IS NOT NULL AND {_sure_text('q.name')})",
+        _PLAIN["poses"][3],
+        _PLAIN["poses"][4],
+    ),
+    "texts": _numeric_boxed("text"),
+    "tracks": (
+        f"track_id: string, frame_id: string, {_numeric_track[0]}",
+        _numeric_track[1],
+        f"{_numeric_track[2]} AND i.frame_id IS NOT NULL AND ({_sure_text('i.track_id')} OR rlike(i.track_id, {_ID}))",
+        f"i.track_id <> '' AND {_numeric_track[3]}",
+        "",
+    ),
+}

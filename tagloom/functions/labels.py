@@ -52,9 +52,8 @@ def mean_confidence(prefix: str = "") -> Column:
     """Mean over all items and all keypoints, 0 without any."""
     own = ", ".join(f"{prefix}{kind}.confidence" for kind in KINDS)
     values = f"concat({own}, flatten({prefix}poses.keypoints).confidence)"
-    return F.expr(
-        f"CASE WHEN size({values}) = 0 THEN 0D ELSE aggregate({values}, 0D, (acc, c) -> acc + c) / size({values}) END"
-    )
+    mean = "CASE WHEN size(v) = 0 THEN 0D ELSE aggregate(v, 0D, (acc, c) -> acc + c) / size(v) END"
+    return F.expr(f"element_at(transform(array({values}), v -> {mean}), 1)")  # the list is made once
 
 
 def label_count() -> Column:

@@ -413,7 +413,7 @@ def coco_images(t: Tables) -> DataFrame:
 
 @query
 def coco_annotations(t: Tables) -> DataFrame:
-    final = stage(fixtures.final_labels(t), "final")
+    final = stage(fixtures.final_labels(t).select("image_id", "image_name", "boxes", "segments"), "final")
     classes = ids.class_ids(documents.exported_labels(final, segments=True))
     boxes, segments = (
         final.select("image_id", F.posexplode(kind).alias("item_ix", "item")).select("image_id", "item_ix", "item.*")
@@ -434,7 +434,7 @@ def coco_annotations(t: Tables) -> DataFrame:
 
 @query
 def coco_categories(t: Tables) -> DataFrame:
-    final = stage(fixtures.final_labels(t), "final")
+    final = stage(fixtures.final_labels(t).select("image_name", "boxes", "segments"), "final")
     return documents.coco_categories(ids.class_ids(documents.exported_labels(final, segments=True)))
 
 

@@ -201,3 +201,36 @@ def test_plain_answers_are_read_in_one_pass_with_the_same_result(spark, text):
     any_one = answers._let("body", body, answers._any_sql("body"))
     row = df.selectExpr(f"to_json({plain_one}) AS plain", f"to_json({any_one}) AS whole").first()
     assert row.plain == row.whole if text in PLAIN else row.plain in (None, row.whole)
+
+
+NUMERIC = [
+    boxes(BOX, '{"label": "b", "xmin": 100, "ymin": 200.5, "xmax": -0, "ymax": 1e999}', '{"label": "", "xmin": 0.1}', '{"xmin": 0.1}', '{"label": "tree"}'),
+    '{"boxes": [{"label": "a", "xmin": 0.5, "xmin": 0.25, "xmax": 123456789012345678901234567890, "confidence": 100}], "boxes": [{"label": "c"}]}',
+    '{"tracks": [{"track_id": 17, "frame_id": "4", "label": "a"}, {"track_id": "t", "label": ""}], "texts": [{"text": "0.5 km"}, {"text": "x", "xmax": 900}]}',
+    '{"poses": [{"label": "p", "keypoints": [{"name": "nose", "x": 3, "visible": false}, {"name": "", "confidence": 70}]}, {"keypoints": []}, {}]}',
+    '{"segments": [{"label": "s", "polygon": [{"x": 1, "y": 2}, {"x": 0.3}, {}], "confidence": 7}, {"label": "s"}], "classifications": [{"label": "1-URGENT"}]}',
+    "{}",
+]
+
+
+@pytest.mark.parametrize("text", NUMERIC + PLAIN + ODD + [boxes('{"label": "a", "xmin": "NaN"}'), boxes('{"label": "a", "xmin": [0.5]}'), '{"tracks": [{"track_id": "1", "label": "d", "frame_id": -1}]}'])
+def test_numbers_are_read_as_numbers_with_the_same_result(spark, text):
+    from tagloom.functions import answers
+
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # as parse_answers does
+    df = spark.createDataFrame([(text,)], "raw_text string")
+    one = lambda read: answers._let("body", answers._body_sql("raw_text"), read)
+    row = df.selectExpr(f"to_json({one(answers._numeric_sql('body'))}) AS read", f"to_json({one(answers._any_sql('body'))}) AS whole").first()
+    assert row.read == row.whole if text in NUMERIC + PLAIN[1:] else row.read in (None, row.whole)
+    # the answer is there without the other two ways
+    if text in NUMERIC:
+        alone = answers._numeric_sql("body").replace(answers._plain_sql("body"), "NULL")
+        assert df.selectExpr(f"to_json({one(alone)}) AS read").first().read == row.whole
+
+
+def test_mean_confidence_makes_its_list_once(spark):
+    from tagloom.functions.labels import mean_confidence
+
+    parsed = parse_answers(spark.createDataFrame([('{"boxes": [{"label": "a", "confidence": 0.5}], "poses": [{"keypoints": [{"name": "n", "confidence": 0.7}], "confidence": 0.3}]}',), ("{}",)], "raw_text string"))
+    assert [round(r.m, 9) for r in parsed.select(mean_confidence().alias("m")).collect()] == [0.5, 0.0]
+    assert parsed.select(mean_confidence().alias("m"))._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
