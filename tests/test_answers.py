@@ -234,3 +234,22 @@ def test_mean_confidence_makes_its_list_once(spark):
     parsed = parse_answers(spark.createDataFrame([('{"boxes": [{"label": "a", "confidence": 0.5}], "poses": [{"keypoints": [{"name": "n", "confidence": 0.7}], "confidence": 0.3}]}',), ("{}",)], "raw_text string"))
     assert [round(r.m, 9) for r in parsed.select(mean_confidence().alias("m")).collect()] == [0.5, 0.0]
     assert parsed.select(mean_confidence().alias("m"))._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
+
+
+CUT = ['{"boxes":[' + BOX, '{"boxes": [', '{"boxes":[{"label":"a","xmin":0.1},{"label":"b"}', '{"boxes":[{"label":"[a]"}', '{"a":[]}}', "[", '"[']
+WHOLE = [boxes(BOX), "", "[]", '{"a": "["}', '{"a": "}{", "b": 1}', '{"a": "\\"["}', '1,"#end"]', "1],[2", '{"boxes": []} and {']
+
+
+def test_text_whose_brackets_do_not_pair_up_is_told_without_reading_it(spark):
+    from tagloom.functions import answers
+
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    df = spark.createDataFrame([(text,) for text in CUT + WHOLE[:-1]], "body string")
+    rows = df.selectExpr("body", f"{answers._cut_sql('body')} AS cut", f"to_json({answers._any_sql('body')}) AS whole", f"to_json({answers._answer_sql('body')}) AS read").collect()
+    assert {r.body for r in rows if r.cut} == set(CUT)
+    assert all(r.read == r.whole for r in rows)
+    (row,) = parse(spark, WHOLE[-1])
+    assert row.ok and not row.parse_ok
+    nulls = [boxes('{"label": ":null", "xmin":null}'), boxes('{"label":"a","xmax":null}'), '{"a":":null","boxes":[{"label":"b"}]}', boxes('{"label":"x null","confidence":null}')]
+    for text, row in zip(nulls, parse(spark, *nulls)):
+        assert row.parse_ok and row.ok == ("xm" not in text and "conf" not in text), text
