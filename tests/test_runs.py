@@ -296,6 +296,21 @@ def test_another_question_is_asked_anew(spark, tmp_path):
     assert inference.read_answers(spark, store).count() == 8 + 5 * 6
 
 
+def test_answers_to_other_questions_are_not_parsed_and_lone_ones_not_sorted(spark, tmp_path):
+    store = str(tmp_path / "answers")
+
+    def model():
+        return lambda batch: ["{}"] * len(batch)
+
+    inference.infer(request_rows(spark), model, backoff_seconds=0.0, store=store)
+    inference.infer(request_rows(spark, model="other"), model, backoff_seconds=0.0, store=store)
+    asked = inference.with_fingerprint(request_rows(spark, 2, model="other"))
+    rows = inference.read_answers(spark, store, requests=asked)
+    assert sorted((r.image_id, r.model) for r in rows.collect()) == [(0, "other"), (1, "other")]
+    stored = rows._jdf.queryExecution().optimizedPlan()
+    assert "Aggregate" not in stored.toString() and "settled-answers" in rows.inputFiles()[0]
+
+
 def test_failed_requests_are_asked_again_by_the_next_run(spark, tmp_path):
     store = str(tmp_path / "answers")
 
