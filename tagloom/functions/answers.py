@@ -38,7 +38,9 @@ def _let(name: str, value: str, body: str) -> str:
 
 def _strip(text: str) -> str:
     whole = f"CASE WHEN {_STRIPPED.format('t')} THEN t ELSE regexp_replace(t, {_SPACE}, '') END"
-    return _let("t", f"btrim({text}, ' \\t\\n\\r')", whole)  # the pattern tries each place of a text
+    # the pattern tries each place of a text, so that most blanks go before
+    trimmed = _let("t", "btrim(s, ' \\t\\n\\r')", whole)
+    return _let("s", text, f"CASE WHEN {_STRIPPED.format('s')} THEN s ELSE {trimmed} END")
 
 
 def _body_sql(text: str) -> str:
